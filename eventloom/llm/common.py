@@ -115,12 +115,12 @@ def map_slot(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
 
-def membership(df: DataFrame, column: Column) -> bytes:
+def membership(df: DataFrame, column: Column | None, slot: Column | None = None) -> bytes:
     """A bit map of fixed size with the slots of all values of a column set; other values may share a slot.
 
     Who uses it must treat a set bit as 'perhaps' and settle those rows exactly, so that a full map costs time, never rows.
     """
-    slot = map_slot(column)
+    slot = map_slot(column) if slot is None else slot
     pages = (
         df.select(slot.alias("slot"))
         .groupBy(F.expr("bitmap_bucket_number(slot)").alias("page"))

@@ -13,6 +13,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids through the content-addressed store and back."""
+    from eventloom.llm import tokenstore
+
+    return tokenstore.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE by the streaming transducer, and back."""
     from eventloom.llm import bpe
@@ -20,6 +27,48 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and n-gram regression on every page's URL."""
+    from eventloom.llm import urlfilter
+
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    from eventloom.llm import decontaminate
+
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, normalised, and read back through the index."""
+    from eventloom.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, linked parts included."""
+    from eventloom.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as media in deduplicated chunks, and read back."""
+    from eventloom.llm import media
+
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality scores of every document."""
+    from eventloom.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     """All numbered queries by name."""
     return {name: function for name, function in sorted(globals().items()) if name.startswith("op")}
