@@ -89,7 +89,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, counts
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 23):
+def slices(offsets: np.ndarray, limit: int = 1 << 21):
     """Ranges of texts with about `limit` bytes together (one text at least), so that work arrays stay small."""
     start, n = 0, len(offsets) - 1
     while start < n:
@@ -141,6 +141,24 @@ def in_map(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def split_rows(rows: DataFrame, listed: DataFrame, key: str = "r") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is certainly not listed, all others): so that only rows that may be concerned need a join."""
+    bits = rows.sparkSession.sparkContext.broadcast(membership(listed, F.col(key)))
+    marked = rows.withColumn("__slot", map_slot(F.col(ROW)))
+
+    def only(wanted: bool) -> DataFrame:
+        def run(batches):
+            table = np.frombuffer(bits.value, np.uint8)
+            for batch in batches:
+                keep = in_map(table, batch.column("__slot").to_numpy()) == wanted
+                if keep.any():
+                    yield batch.filter(pa.array(keep))
+
+        return marked.mapInArrow(run, marked.schema).drop("__slot")
+
+    return only(False), only(True)
+
+
 def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
 
@@ -173,4 +191,5 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    found = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return found.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

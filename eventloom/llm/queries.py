@@ -41,6 +41,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of every document."""
+    from eventloom.llm import katz
+
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives, normalised, and read back through the index."""
     from eventloom.llm import warc
@@ -55,6 +62,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by shingle overlap."""
+    from eventloom.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as media in deduplicated chunks, and read back."""
     from eventloom.llm import media

@@ -11,15 +11,15 @@ redact); an empty table gives an empty result. Equal starts are ordered by the k
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, in_map, map_slot, membership, with_rows
+from eventloom.llm.common import ROW, split_rows, with_rows
 from eventloom.session import staged
 
 #: The kinds in order, the patterns of the contract.
@@ -67,8 +67,6 @@ def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, i
     out += [("endpoint", m.start(), m.end(), True) for m in ENDPOINT.finditer(text)]
     taken.sort()
     starts = [s for s, _ in taken]
-    import bisect
-
     reach = [0]
     for _, e in taken:
         reach.append(max(reach[-1], e))
@@ -147,21 +145,8 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
     rows = with_rows(docs, *docs.columns)
     thin = rows.select(F.lit(0).alias("id"), ROW, F.col(text_col).alias("text"))
     spans = staged(_spans(staged(_scan(thin), "secrets")).where("size(spans) > 0").select(F.col(ROW).alias("r"), "spans"), "spans")
-    bits = membership(spans, F.col("r"))
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    slot = rows.withColumn("slot", map_slot(F.col(ROW)))
-
-    def only(wanted: bool):
-        def run(batches):
-            table = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                keep = in_map(table, batch.column("slot").to_numpy()) == wanted
-                if keep.any():
-                    yield batch.filter(pa.array(keep))
-
-        return slot.mapInArrow(run, slot.schema).drop("slot")
-
-    joined = only(True).join(spans, F.col(ROW) == F.col("r"), "left").drop("r")
+    sure, perhaps = split_rows(rows, spans)
+    joined = perhaps.join(spans, F.col(ROW) == F.col("r"), "left").drop("r")
 
     def cut(batches):
         for batch in batches:
@@ -178,6 +163,6 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names if n != "spans"], [n for n in names if n != "spans"])
 
-    clean = joined.mapInArrow(cut, only(False).schema)
-    out = only(False).union(clean).drop(ROW)
+    clean = joined.mapInArrow(cut, sure.schema)
+    out = sure.union(clean).drop(ROW)
     return out.withColumn(chars_col, F.length(text_col).cast("long")) if chars_col in out.columns else out

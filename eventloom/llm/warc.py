@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, in_map, map_slot, membership, with_rows
+from eventloom.llm.common import ROW, split_rows, with_rows
 from eventloom.session import fresh_path, staged
 
 LEAST, FILE_BYTES, PIECE = 100, 128 << 20, 1 << 20
@@ -185,24 +185,10 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col(ROW))
     firsts = thin.groupBy("digest").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", F.col(f"f.{ROW}").alias("first_row"), F.col("f.id").alias("first"))
     copies = staged(thin.select(ROW, "digest").join(firsts, "digest").where(F.col(ROW) != F.col("first_row")).select(F.col(ROW).alias("r"), "first_row", "first"), "revisits")
-    bits = spark.sparkContext.broadcast(membership(copies, F.col("r")))
-    marked = rows.withColumn("slot", map_slot(F.col(ROW)))
-
-    def only(wanted: bool) -> DataFrame:
-        def run(batches):
-            import numpy as np
-
-            table = np.frombuffer(bits.value, np.uint8)
-            for batch in batches:
-                keep = in_map(table, batch.column("slot").to_numpy()) == wanted
-                if keep.any():
-                    yield batch.filter(pa.array(keep))
-
-        return marked.mapInArrow(run, marked.schema).drop("slot")
-
+    sure, perhaps = split_rows(rows, copies)
     kind = rows.schema["id"].dataType.simpleString()
-    alone = only(False).withColumns({"first_row": F.lit(None).cast("long"), "first": F.lit(None).cast(kind)})
-    maybe = only(True).join(copies, F.col(ROW) == F.col("r"), "left").drop("r")
+    alone = sure.withColumns({"first_row": F.lit(None).cast("long"), "first": F.lit(None).cast(kind)})
+    maybe = perhaps.join(copies, F.col(ROW) == F.col("r"), "left").drop("r")
     raw, out = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
     for folder in (raw, out):
         store, base = _open(folder)
