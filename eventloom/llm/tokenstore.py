@@ -42,12 +42,15 @@ class _Words(dict):
         self.tokenizer.no_padding()
         self[""] = b""
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encode words; those that are short are remembered, a bounded number of them."""
-        if len(self) + len(new) > KEPT:
+    def cover(self, wanted: set[str]) -> dict[str, bytes]:
+        """Make sure that all wanted words are here: encode the missing ones; start anew where they would be too many.
+        Long words are not remembered but returned."""
+        missing = [w for w in wanted if w not in self]
+        if len(self) + len(missing) > KEPT:
             self.clear()
             self[""] = b""
-        made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            missing = [w for w in wanted if w]
+        made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
         self.update((w, b) for w, b in made.items() if len(w) <= LONGEST_KEPT)
         return {w: b for w, b in made.items() if len(w) > LONGEST_KEPT}
 
@@ -62,10 +65,10 @@ def encode_batch(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts, without end ids."""
     known = _words(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set()
+    wanted: set[str] = set()
     for ws in split:
-        new.update(ws)
-    long = known.learn([w for w in new if w not in known])
+        wanted.update(ws)
+    long = known.cover(wanted)
     if not long:
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
     return [b"".join([known[w] if w in known else long[w] for w in ws]) for ws in split]

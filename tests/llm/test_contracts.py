@@ -92,6 +92,19 @@ def test_op1_rebuilds_ids(spark, odd_dir):
     assert back == sorted((str(d["doc_id"]), t.encode(d["text"] or "", add_special_tokens=False).ids + [2]) for d in docs(odd_dir))
 
 
+def test_op1_forgets_words_safely(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from eventloom.llm import tokenstore
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokenstore, "KEPT", 5)
+    texts = ["a b c d", "a b e f", "x y z a", "y" * 100 + " a"]
+    got = [np.frombuffer(b, "<u4").tolist() for t in texts for b in tokenstore.encode_batch([t, "a b"], path)[:1]]
+    assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_op2(spark, tables):
     import public_tokenizers
     from tokenizers import Tokenizer
