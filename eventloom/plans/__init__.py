@@ -1 +1,3 @@
+"""The query catalogue, by theme."""
 
+from eventloom.plans import aggregates, merging, scoring, searching, sourcing, streams, texts  # noqa: F401

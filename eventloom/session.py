@@ -59,7 +59,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once for each context, so that workers can import it."""
+    """Send this package to the executors once for each context, so that workers can import it, and bound Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; whole texts are long rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     context = spark.sparkContext
     if getattr(context, "_eventloom_shipped", False):
         return
