@@ -27,7 +27,7 @@ def ics_events(feeds: DataFrame, body: str = "body") -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(F.col(body), "\r\n?", "\n"), "\n[ \t]", "")
     blocks = feeds.where(~F.lower(F.ltrim(F.substring(body, 1, 200))).rlike("^<(!doctype|html)")).withColumn("__e", F.explode(F.regexp_extract_all(plain, F.lit("(?s)BEGIN:VEVENT\n(.*?)\nEND:VEVENT"), 1)))
     field = lambda name: F.nullif(F.trim(F.regexp_extract("__e", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1)), F.lit(""))
-    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";")), F.lit("\\n"), F.lit("\n"))
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";")), F.lit("\\n"), F.lit("\n"))
 
     def when(c: Column) -> Column:
         digits = F.regexp_replace(c, "[^0-9]", "")
@@ -59,7 +59,7 @@ def sniff(content_type: Column, body: Column) -> Column:
 
 def ical(title: Column, start: Column, end: Column, uid: Column, place: Column, status: Column) -> Column:
     """One VEVENT; without an end an event lasts two hours."""
-    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
     at = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
     line = lambda name, c: F.concat(F.lit(name + ":"), c)
     return F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), line("UID", uid), line("DTSTART", at(start)), line("DTEND", at(F.coalesce(end, start + F.expr("INTERVAL '2' HOUR")))), line("SUMMARY", safe(title)), line("LOCATION", safe(place)), line("STATUS", status), F.lit("END:VEVENT"))
