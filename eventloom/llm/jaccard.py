@@ -32,9 +32,9 @@ from eventloom.llm.katz import pack, unpack
 from eventloom.session import staged
 
 WORDS, PERCENT = 4, 85
-#: Columns below this share of the hash range are counted before the product: first columns lie there but for few sets.
-LOW = int(0.45 * 2**40)
-COMMON, MOST_COMMON = 32, 1 << 20
+#: Columns are counted by the first 40 bits of their hash.
+RANGE = 1 << 40
+COMMON, MOST_COMMON = 16, 1 << 20
 MAP_LEAST, MAP_MOST = 1 << 20, 1 << 30
 TILE = 600_000
 
@@ -96,18 +96,18 @@ class Columns:
     def repeats(self, h: np.ndarray) -> np.ndarray:
         """False only for columns that certainly occur once."""
         key = (h >> np.uint64(24)).astype(np.int64)
-        slot = np.minimum((key.astype(float) * (self.size / LOW)).astype(np.int64), self.size - 1)
-        return (key >= LOW) | ((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
+        slot = np.minimum((key.astype(float) * (self.size / RANGE)).astype(np.int64), self.size - 1)
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def count_columns(rows: DataFrame, parts: int, n_words: int) -> Columns:
-    """Count the columns of the low range over all texts, in blocks by range, and keep what Columns needs."""
+    """Count the columns over all texts, in blocks by range, and keep what Columns needs."""
 
     def emit(batches):
         for batch in batches:
-            keys = [s[s >> np.uint64(24) < LOW] >> np.uint64(24) for _, s, _ in shingle_sets(batch.column("text"), n_words)]
+            keys = [s >> np.uint64(24) for _, s, _ in shingle_sets(batch.column("text"), n_words)]
             keys, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            part = np.minimum(keys.astype(float) * (parts / LOW), parts - 1).astype(np.int64)
+            part = np.minimum(keys.astype(float) * (parts / RANGE), parts - 1).astype(np.int64)
             at = np.searchsorted(part, np.arange(parts + 1))
             out = [(p, pack(keys[a:b] - keys[a]), int(keys[a]), np.minimum(counts[a:b], 65535).astype("<u2").tobytes()) for p, a, b in zip(range(parts), at, at[1:]) if b > a]
             columns = list(zip(*out)) or [()] * 4
@@ -139,7 +139,7 @@ def count_columns(rows: DataFrame, parts: int, n_words: int) -> Columns:
         for batch in batches:
             bits, lows = [], []
             for p, block in zip(batch.column("p").to_pylist(), batch.column("repeated").to_pylist()):
-                slot = np.minimum((np.frombuffer(block, "<i8").astype(float) * (size / LOW)).astype(np.int64), size - 1)
+                slot = np.minimum((np.frombuffer(block, "<i8").astype(float) * (size / RANGE)).astype(np.int64), size - 1)
                 low = int(slot[0]) >> 3 if len(slot) else 0
                 own = np.zeros((int(slot[-1]) >> 3) - low + 1 if len(slot) else 0, np.uint8)
                 np.bitwise_or.at(own, (slot >> 3) - low, (1 << (slot & 7)).astype(np.uint8))
@@ -234,7 +234,7 @@ def _pairs(group: pa.Table) -> pa.Table:
     for k in np.unique(lengths):
         i, j = np.triu_indices(int(k), 1)
         lists = starts[lengths == k]
-        step = max(1, 4_000_000 // len(i))
+        step = max(1, 1_000_000 // len(i))
         for s in range(0, len(lists), step):
             members = own[lists[s : s + step, None] + np.arange(k)]
             a, b = members[:, i].ravel(), members[:, j].ravel()

@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,13 @@ from eventloom.llm.common import ROW, mix, with_rows
 from eventloom.session import fresh_path, staged
 
 END, BITS, LEAST, MOST = 2, 8, 64, 1024
-LONGEST_KEPT, KEPT = 48, 600_000
+LONGEST_KEPT, KEPT = 48, 450_000
 
 
 class _Words(dict):
     """A word between blanks -> its ids as little-endian 32-bit integers. Blanks always end a token, so words can be
-    encoded apart; missing ones are encoded together by the library."""
+    encoded apart. A missing word is cut into the tokenizer's own pieces; pieces that are missing too are encoded by the
+    library, many in one text, as no token reaches over a blank."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,6 +43,15 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        suffix = whole["model"]["end_of_word_suffix"]
+        self.special = [t["content"] for t in whole["added_tokens"]]
+        self.ends = {i for t, i in whole["model"]["vocab"].items() if suffix and t.endswith(suffix)}
+        cut = [p["pattern"]["Regex"] for p in (whole["pre_tokenizer"] or {}).get("pretokenizers", ()) if p["type"] == "Split" and p["invert"]]
+        lower = [n["type"] for n in (whole["normalizer"] or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
+        self.cut = regex.compile(cut[0]) if len(cut) == 1 and lower and self.ends else None
+        self.pieces: dict[str, bytes] = {}
         self[""] = b""
 
     def cover(self, wanted: set[str]) -> dict[str, bytes]:
@@ -50,10 +62,34 @@ class _Words(dict):
             self.clear()
             self[""] = b""
             missing = [w for w in wanted if w]
-        made = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
+        # where letters are below U+0300 and no special token stands, normalising is lower-casing
+        plain = [w for w in missing if self.cut and (w.isascii() or max(w) < "\u0300") and not any(t in w for t in self.special)]
+        whole = missing if not plain else list(set(missing).difference(plain))
+        made = {w: _packed(e.ids) for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))}
+        cut = [self.cut.findall(w.lower()) for w in plain]
+        self._learn({p for ps in cut for p in ps})
+        made.update((w, b"".join(map(self.pieces.__getitem__, ps))) for w, ps in zip(plain, cut))
         self.update((w, b) for w, b in made.items() if len(w) <= LONGEST_KEPT)
         return {w: b for w, b in made.items() if len(w) > LONGEST_KEPT}
 
+    def _learn(self, wanted: set[str]) -> None:
+        """Make sure that all wanted pieces are known."""
+        missing = [p for p in wanted if p not in self.pieces]
+        if len(self.pieces) + len(missing) > KEPT:
+            self.pieces.clear()
+            missing = list(wanted)
+        for at in range(0, len(missing), 2000):
+            part = missing[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(np.fromiter(map(self.ends.__contains__, ids.tolist()), bool, len(ids))) + 1
+            if len(last) != len(part):
+                raise ValueError("pieces are not encoded apart")
+            self.pieces.update(zip(part, (ids[a:b].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist()))))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
 
 @functools.lru_cache(2)
 def _words(path: str) -> _Words:
