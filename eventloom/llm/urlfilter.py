@@ -1,20 +1,23 @@
 """URL filters: host and path rules, and logistic regression on hashed character n-grams for all other URLs.
 
-Only SQL functions run on the pages: host and path are cut out, every suffix of the host is looked up among the rules, and
-the score is a sum of weights over the n-gram slots. The model is trained from a small labelled URL table by gradient
-descent, each step one aggregation over that table.
+Only SQL functions and Spark's own feature and regression stages run on the pages: host and path are cut out, every suffix of
+the host is looked up among the rules, and hashed n-grams are weighed by a model that is trained from a small labelled URL table.
 
 Rows: a null URL or one without :// has an empty host and path, matches no rule and is judged by the method, which allows it
-(its score is the intercept alone, and no n-gram speaks against it); repeated rows and ids stay; extra columns are dropped;
+(its score is 0, as no n-gram speaks against it); repeated rows and ids stay; extra columns are dropped;
 an empty table gives an empty result. Of rules of one length the one that sorts last wins.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, Transformer
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS, GRAM, STEPS, RATE, DECAY = 1024, 3, 40, 4.0, 1e-4
+SLOTS, GRAM, STEPS, DECAY = 1024, 3, 40, 1e-3
 
 #: The rules of the contract.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -47,43 +50,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def slots(host: Column, path: Column) -> Column:
-    """The n-gram slots of a URL; host and path have their own n-grams."""
+def grams(host: Column, path: Column) -> Column:
+    """The character n-grams of a URL; host and path have their own."""
 
-    def grams(mark: str, text: Column) -> Column:
+    def of(mark: str, text: Column) -> Column:
         whole = F.concat(F.lit("^"), text, F.lit("$"))
         at = F.sequence(F.lit(1), F.greatest(F.length(whole) - (GRAM - 1), F.lit(1)))
-        return F.when(F.length(text) > 0, F.transform(at, lambda i: F.pmod(F.xxhash64(F.concat(F.lit(mark), whole.substr(i, F.lit(GRAM)))), F.lit(SLOTS)).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-    return F.concat(grams("h", host), grams("p", path))
-
-
-def train(labelled: DataFrame) -> list[float]:
-    """Weights by slot, the intercept last. Each step sums the gradient by slot in one aggregation; what comes to the driver
-    is one number for each of SLOTS slots."""
-    spark = labelled.sparkSession
-    ready = labelled.select(slots(host_of(F.col("url")), path_of(F.col("url"))).alias("at"), F.col("unwanted").cast("double").alias("y")).where("y is not null and size(at) > 0")
-    n = ready.count()
-    weights = [0.0] * (SLOTS + 1)
-    speed = [0.0] * (SLOTS + 1)
-    if not n:
-        return weights
-    rows = spark.createDataFrame(ready.select("at", "y").collect(), ready.schema).coalesce(1)  # the table is small by contract
-    for _ in range(STEPS):
-        z = _sum(F.col("at"), weights)
-        gap = rows.select("at", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("y")).alias("gap"), F.size("at").alias("n"))
-        slope = gap.select(F.explode(F.concat("at", F.array(F.lit(SLOTS)))).alias("slot"), "gap", "n").groupBy("slot").agg(F.sum(F.when(F.col("slot") == SLOTS, F.col("gap")).otherwise(F.col("gap") / F.sqrt("n"))).alias("g"))
-        for slot, g in slope.collect():
-            speed[slot] = 0.9 * speed[slot] + g / n
-        weights = [w * (1 - DECAY) - RATE * 0.25 * v for w, v in zip(weights, speed)]
-    return weights
-
-
-def _sum(at: Column, weights: list[float]) -> Column:
-    """The linear score of n-gram slots: their weights over the root of their number, and the intercept."""
-    table = F.transform(F.split(F.lit(",".join(map(repr, weights[:-1]))), ","), lambda x: x.cast("double"))
-    total = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(table, i + 1))
-    return F.lit(weights[-1]) + F.when(F.size(at) > 0, total / F.sqrt(F.size(at))).otherwise(F.lit(0.0))
+        return F.when(F.length(text) > 0, F.transform(at, lambda i: F.concat(F.lit(mark), whole.substr(i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(of("h", host), of("p", path))
+
+
+def train(labelled: DataFrame) -> Transformer | None:
+    """Hashing of n-grams to SLOTS slots, scaling to length one and logistic regression, fitted by L-BFGS on (url, unwanted);
+    None without a labelled URL."""
+    cut = labelled.select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"), F.col("unwanted").cast("double").alias("unwanted"))
+    rows = cut.where("unwanted is not null and size(grams) > 0").coalesce(1)  # the table is small by contract
+    if rows.isEmpty():
+        return None
+    hashed = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=SLOTS, binary=True)
+    scaled = Normalizer(inputCol="hashed", outputCol="features")
+    regression = LogisticRegression(labelCol="unwanted", maxIter=STEPS, regParam=DECAY, standardization=False)
+    return Pipeline(stages=[hashed, scaled, regression]).fit(rows)
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -100,11 +88,12 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score): the longest rule's verdict, else that of the regression."""
-    weights = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
+    model = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     url = F.col(f"`{url_col}`").cast("string")
     cut = pages.select(F.col(f"`{id_col}`").alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
-    found = cut.withColumn("best", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("at", slots(F.col("host"), F.col("path")))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-_sum(F.col("at"), weights)))
-    judged = found.withColumn("score", F.when(F.size("at") > 0, score).otherwise(F.lit(0.0)))
+    found = cut.withColumn("best", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("grams", grams(F.col("host"), F.col("path")))
+    scored = model.transform(found) if model else found.withColumn("grams", F.array().cast("array<string>"))
+    score = vector_to_array("probability")[1] if model else F.lit(0.0)
+    judged = scored.withColumn("score", F.when(F.size("grams") > 0, score).otherwise(F.lit(0.0)))
     verdict = F.coalesce(F.col("best.action"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "score")
