@@ -44,8 +44,18 @@ def fp_candidate(external: Column, url: Column, title: Column, start: Column, ad
 def fp_backend(title: Column, start: Column, lat: Column, lng: Column) -> Column:
     """ASCII title, UTC day and coordinates to three places."""
     clean = F.regexp_replace(F.trim(F.regexp_replace(F.lower(title), r"[^A-Za-z0-9_\s]", "")), r"\s+", " ")
-    fixed = lambda x: F.coalesce(F.format_string("%.3f", x), F.lit(""))
-    return short_sha(F.concat(clean, F.lit("|"), F.date_format(start, "yyyy-MM-dd"), F.lit("|"), F.when(lat.isNotNull(), fixed(lat)).otherwise(""), F.lit("|"), F.when(lng.isNotNull(), fixed(lng)).otherwise("")))
+    return short_sha(F.concat(clean, F.lit("|"), F.date_format(start, "yyyy-MM-dd"), F.lit("|"), F.coalesce(three_places(lat), F.lit("")), F.lit("|"), F.coalesce(three_places(lng), F.lit(""))))
+
+
+def three_places(x: Column) -> Column:
+    """A double to three decimal places by its exact binary value (format_string rounds the shortest decimal form instead)."""
+    a = F.abs(x)
+    n = F.floor(a * 1000)
+    wide = a * 134217729.0
+    high = wide - (wide - a)  # the upper half of the digits, so that both products below are exact
+    up = (high * 2000 - (2 * n + 1)) + (a - high) * 2000 >= 0
+    n = n + up.cast("int")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
 
 
 def fp_import(title: Column, published: Column) -> Column:
