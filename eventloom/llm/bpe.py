@@ -27,7 +27,7 @@ from eventloom.llm.common import ROW, with_rows
 #: Fixed value: how byte-level vocabularies cut a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces longer than this are not remembered; a worker remembers at most so many others.
-LONGEST_KEPT, KEPT = 48, 600_000
+LONGEST_KEPT, KEPT = 48, 200_000
 
 
 def printable_bytes() -> dict[str, int]:
