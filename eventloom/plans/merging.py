@@ -17,7 +17,7 @@ CLEAN = lambda allowed: f"regexp_replace(trim(regexp_replace(lower(title), '[^{a
 
 
 @register("fingerprints", ctes("catalog") + f"""SELECT id, substr(sha256(concat(trim(lower(title)), '|', {DAY}, '|', substr(coalesce(lower(venue_name), ''), 1, 50))), 1, 32) AS feed, substr(sha256(coalesce(booking_url || '|' || {DAY}, concat({CLEAN('a-z0-9_äöüß')}, '|', {DAY}, '|', substr(coalesce(lower(address), ''), 1, 50)))), 1, 32) AS candidate,
-    substr(sha256(concat({CLEAN('A-Za-z0-9_')}, '|', {DAY}, '|', CASE WHEN lat IS NOT NULL THEN printf('%.3f', lat) ELSE '' END, '|', CASE WHEN lng IS NOT NULL THEN printf('%.3f', lng) ELSE '' END)), 1, 32) AS backend, substr(sha256(concat(title, {DAY})), 1, 32) AS import FROM catalog""")
+    substr(sha256(concat({CLEAN('A-Za-z0-9_')}, '|', {DAY}, '|', CASE WHEN lat IS NOT NULL THEN printf('%.3f', lat + CASE WHEN lat * 16 = floor(lat * 16) THEN 0.0001 ELSE 0 END) ELSE '' END, '|', CASE WHEN lng IS NOT NULL THEN printf('%.3f', lng + CASE WHEN lng * 16 = floor(lng * 16) THEN 0.0001 ELSE 0 END) ELSE '' END)), 1, 32) AS backend, substr(sha256(concat(title, {DAY})), 1, 32) AS import FROM catalog""")
 def fingerprints(spark, d):
     c, day = view(spark, d, "catalog"), F.date_format("start_datetime", "yyyy-MM-dd")
     t, s = F.col("title"), F.col("start_datetime")

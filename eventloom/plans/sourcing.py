@@ -77,6 +77,9 @@ def settings_defaults(spark, d):
     return s.select(F.explode(F.map_zip_with("a", "b", lambda k, x, y: F.coalesce(y, x))).alias("k", "v"))
 
 
+FIELDS = [("action", "string"), ("term", "string"), ("boost", "int"), ("replacement", "string"), ("label", "string"), ("priority", "int")]
+
+
 @register("suggestion_merge")
 def suggestion_merge(spark, d):
     """Each city's most frequent terms, with an editor's overrides folded in."""
@@ -87,6 +90,6 @@ def suggestion_merge(spark, d):
     items = top.select("city", F.lit("trending").alias("list"), F.col("rank").alias("position"), "text", F.lit(None).cast("string").alias("badge"), "score")
     items = items.union(items.withColumn("list", F.lit("suggestion")))
     rows = [("HIDE", "view:0", None, None, None, 5), ("PIN", "Museum", None, None, None, 4), ("BOOST", "click:1", 500, None, None, 3), ("REPLACE", "error:2", None, "fixed", None, 2), ("PUSH", "zoo", None, None, "new", 1)]
-    o = spark.createDataFrame(rows, "action string, term string, boost int, replacement string, label string, priority int")
-    overrides = items.select("city").distinct().join(F.broadcast(o), F.lit(True))
+    listed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, FIELDS)]) for r in rows])
+    overrides = items.select(F.col("city").alias("city")).distinct().select("city", F.inline(listed))
     return trends.apply_overrides(items, overrides, "city")
