@@ -124,12 +124,13 @@ CATS = [w for ws in T.CATEGORIES.values() for w in ws]
     CASE WHEN h IS NOT NULL THEN 'hard:' || h WHEN s IS NOT NULL AND i IS NULL THEN 'soft:' || s WHEN s IS NOT NULL THEN 'conflict' WHEN i IS NOT NULL THEN 'include:' || i WHEN c THEN 'category' WHEN r <= 14 THEN 'age_range' WHEN a >= 16 OR a <= 6 THEN 'age_from' WHEN p <= 14 THEN 'age_plus' WHEN m IS NOT NULL THEN 'months' ELSE 'none' END AS reason FROM (SELECT id, {FIRST(T.HARD)} AS h, {FIRST(T.SOFT)} AS s, {FIRST(T.INCLUDE)} AS i, {sql_any(CATS)} AS c,
     {INT('([0-9]+)' + chr(92) + 's*[-–]' + chr(92) + 's*([0-9]+)' + YEARS)} AS r, {INT('ab' + chr(92) + 's*([0-9]+)' + YEARS)} AS a, {INT('(?:^|[^0-9A-Za-z_])([0-9]{1,2})' + chr(92) + 's*' + chr(92) + '+')} AS p, {INT('ab' + chr(92) + 's*([0-9]{1,2})' + chr(92) + 's*(?:monate?n?|mon' + chr(92) + '.?)')} AS m FROM low)"""))
 def rule_filter(spark, d):
-    return struct(texts(spark, d), T.rule_filter(low()), "r", relevant="relevant", reason="reason")
+    once = F.transform(F.array(low()), lambda t: T.rule_filter(t))[0]  # lower-cases a text once, not once a keyword
+    return struct(texts(spark, d), once, "r", relevant="relevant", reason="reason")
 
 
 @register("text_categories", events("SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {sql_any(T.CATEGORIES[n])} THEN '{n}' END" for n in sorted(T.CATEGORIES)) + ") AS categories FROM low"))
 def text_categories(spark, d):
-    return texts(spark, d).select("id", F.array_join(T.categories(low()), ",").alias("categories"))
+    return texts(spark, d).select("id", F.array_join(F.transform(F.array(low()), lambda t: T.categories(t))[0], ",").alias("categories"))
 
 
 @register("enrich_route", events(f"SELECT id, CASE WHEN h THEN 'hard_reject' WHEN s AND NOT i THEN 'soft_reject' WHEN i AND NOT s THEN 'fast_track' ELSE 'external' END AS route, CASE WHEN h THEN 10 WHEN s AND NOT i THEN 20 WHEN i AND NOT s THEN 85 END AS relevance FROM (SELECT id, {sql_any(T.HARD)} AS h, {sql_any(T.SOFT)} AS s, {sql_any(T.INCLUDE)} AS i FROM low)"))
