@@ -1,13 +1,14 @@
-"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
+"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, any order.
 
-Words are lower-cased runs without white space; every text ends with an end token. The VOCABULARY most frequent training
-words are classes of their own, all others share one class, inside which a word has its share by its own exact count (unseen
-words share the Good-Turing mass of the unseen). Pairs of classes are counted over all training texts and stored in a
-partitioned table. A token's probability is that of its pair if the pair was seen, else the previous class's backoff weight
-times its own probability, evaluated for every token.
+Words are lower-cased runs without white space; every text ends with an end token and is preceded by start tokens. N-grams of
+every length up to the order are named by 64-bit hashes and counted over all training texts; every word is a word of its
+own and every context has its own backoff weight, in tables partitioned by context. A token's probability is that of its
+longest n-gram if it was seen, else the context's backoff weight times the probability one word shorter, down to the word's
+own (unseen words share the Good-Turing mass of the unseen). A caller may ask for a class model instead: with `vocabulary`,
+all words but so many most frequent ones share one class, inside which a word has its share by its own exact count.
 
-Counting and scoring move packed blocks of counts between partitions of the key space. A bounded number of the most frequent
-words and pairs is broadcast so that their tokens need no shuffle; all other tokens go to the partition that has their
+Counting and scoring move blocks of counts between partitions of the key space. A bounded number of the most frequent
+words and n-grams is broadcast so that their tokens need no shuffle; all other tokens go to the partition that has their
 counts. Nothing is dropped: the bounds decide where a count is looked up, not whether.
 
 Rows: null and empty texts hold the end token alone; rows with a null id are training rows; repeated rows and ids stay; extra
@@ -19,16 +20,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, slices, utf8, with_rows, words
+from eventloom.llm.common import ROW, mix, slices, utf8, with_rows, words
 from eventloom.session import staged
 
-VOCABULARY, FREQUENT, ORDER_K, TAIL = 1 << 17, 1 << 19, 5, 0.5
-SHIFT = np.uint64(18)  # a class fits in so many bits
-END = np.uint64(0x5EED0FE0D0C5EED1)  # the end token's hash
+#: How many words and n-grams are broadcast; which counts are discounted by Good-Turing, and by how much all others.
+CACHED, FREQUENT, ORDER_K, TAIL = 1 << 17, 1 << 19, 5, 0.5
+END = np.uint64(0x5EED0FE0D0C5EED1)  # the hashes of the end token, the start token and the class of all other words
+START, OTHERS = np.uint64(0x57A47ED0C5EED0E3), np.uint64(0x07E45C1A550FA115)
+_CHAIN = np.uint64(0xA0761D6478BD642F)
 
 
 def fold(column: str):
@@ -98,43 +100,82 @@ def adjusted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(counts <= ORDER_K, counts * d[np.minimum(counts, ORDER_K)], counts - TAIL)
 
 
-_BLOCK = "side string, p int, keys binary, counts binary"
+#: Rows that move between partitions: blocks of counts, questions of batches of texts, and sums for their texts.
+_NAMES = ("keys", "counts", "contexts", "below", "words", "values", "weights", "docs", "sums")
+_BLOCK = "side string, p int, batch long, " + ", ".join(f"{n} binary" for n in _NAMES)
+_ARROW = pa.schema([("side", pa.string()), ("p", pa.int32()), ("batch", pa.int64()), *[(n, pa.binary()) for n in _NAMES]])
 
 
-def _blocks(side: str, keys: np.ndarray, counts: np.ndarray, parts: int, extra=()) -> list[tuple]:
-    """(side, partition, packed keys, counts, ...) for the partitions that sorted keys fall into; extra arrays go along."""
-    part = spread(keys, parts)
-    order = np.argsort(part, kind="stable")
-    part, keys = part[order], keys[order]
-    arrays = [a[order] for a in (counts, *extra)]
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
-    return [(side, int(part[a]), pack(keys[a:b]), *[x[a:b].tobytes() for x in arrays]) for a, b in zip(at, [*at[1:], len(part)])]
-
+def _rows(rows: list[dict], schema: pa.Schema = _ARROW) -> pa.RecordBatch:
+    """Dictionaries of arrays and values as rows; what is missing is null."""
+    return pa.RecordBatch.from_pylist([{k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows], schema=schema)
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["side", "p", "keys", "counts"])
 
+def _read(row: dict, name: str, kind: str = "<u8") -> np.ndarray:
+    return np.frombuffer(row[name] or b"", kind)
 
-def _sum_blocks(group: pa.Table) -> pa.Table:
-    """One block of summed counts for a partition of the key space."""
-    keys = np.concatenate([unpack(k) for k in group.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(c, "<u4").astype(np.int64) for c in group.column("counts").to_pylist()])
-    keys, counts = summed(keys, counts)
-    row = (group.column("side")[0].as_py(), group.column("p")[0].as_py(), pack(keys), counts.astype("<i8").tobytes())
-    return pa.Table.from_batches([_table([row])])
 
-
-def _counted(rows: DataFrame, side: str, parts: int, keys_of) -> DataFrame:
-    """A staged table of blocks (side, p, keys, counts) over all texts of rows."""
+def _dealt(side: str, by: np.ndarray, parts: int, **arrays: np.ndarray) -> list[dict]:
+    """One row for each partition that `by` falls into, with its share of the arrays."""
+    part = spread(by, parts)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+    arrays = {k: v[order] for k, v in arrays.items()}
+    return [{"side": side, "p": int(part[a])} | {k: v[a:b] for k, v in arrays.items()} for a, b in zip(at, [*at[1:], len(part)])]
+
+
+def chain(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context with a word after it."""
+    return mix(context * _CHAIN + word)
+
+
+def contexts(own: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token the hashes of the 1, 2, ... order - 1 words before it."""
+    at = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    before = []
+    for k in range(1, order):
+        shifted = np.full(len(own), START)
+        shifted[k:] = own[: len(own) - k]
+        before.append(np.where(at >= k, shifted, START))
+    found = []
+    for k in range(1, order):
+        h = before[k - 1]
+        for w in before[k - 2 :: -1] if k > 1 else ():
+            h = chain(h, w)
+        found.append(h)
+    return found
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    """One block of summed counts for a partition of the key space, sorted by key."""
+    rows = group.to_pylist()
+    part = lambda name, kind="<u8": np.concatenate([_read(r, name, kind) for r in rows])
+    keys, counts = part("keys"), part("counts", "<u4").astype(np.int64)
+    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    row = {"side": rows[0]["side"], "p": rows[0]["p"], "keys": keys, "counts": np.bincount(inverse, counts, len(keys)).astype("<i8")}
+    row |= {n: part(n)[first] for n in ("contexts", "below", "words") if rows[0][n] is not None}
+    return pa.Table.from_batches([_rows([row])])
+
+
+def _counted(rows: DataFrame, k: int, parts: int, model: Model) -> DataFrame:
+    """A staged table of blocks with the n-grams of k words: keys and counts; from two words on also the context, the context
+    one word shorter (from three on) and the last word. Blocks are dealt by context."""
 
     def run(batches):
         for batch in batches:
-            keys = keys_of(*tokens(batch.column("text")))
-            keys, counts = np.unique(keys, return_counts=True)
-            yield _table(_blocks(side, keys, counts.astype("<u4"), parts))
+            hashes, counts = tokens(batch.column("text"))
+            if k == 1:
+                keys, times = np.unique(hashes, return_counts=True)
+                yield _rows(_dealt("1", keys, parts, keys=keys, counts=times.astype("<u4")))
+                continue
+            own = model.classes(hashes)
+            before = contexts(own, counts, k)
+            keys, first, times = np.unique(chain(before[-1], own), return_index=True, return_counts=True)
+            more = {"below": before[-2][first]} if k > 2 else {}
+            yield _rows(_dealt(str(k), before[-1][first], parts, keys=keys, counts=times.astype("<u4"), contexts=before[-1][first], words=own[first], **more))
 
-    return staged(rows.mapInArrow(run, _BLOCK).groupBy("side", "p").applyInArrow(_sum_blocks, _BLOCK), f"lm-{side}")
+    return staged(rows.mapInArrow(run, _BLOCK).groupBy("p").applyInArrow(_merged, _BLOCK), f"lm-{k}")
 
 
 def _statistics(table: DataFrame) -> tuple[int, int, list[int], np.ndarray]:
@@ -151,194 +192,232 @@ def _statistics(table: DataFrame) -> tuple[int, int, list[int], np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([[total, kinds, *low.tolist(), *high.tolist()]], pa.list_(pa.int64()))], ["s"])
 
     width = 2 + ORDER_K + 2 + 64
-    r = table.mapInArrow(run, "s array<long>").agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0)).alias(f"s{i}") for i in range(width)]).first()
+    r = table.select("counts").mapInArrow(run, "s array<long>").agg(*[F.coalesce(F.sum(F.col("s")[i]), F.lit(0)).alias(f"s{i}") for i in range(width)]).first()
     s = list(r)
     return s[0], s[1], s[2 : 4 + ORDER_K], np.array(s[4 + ORDER_K :])
 
 
-def _most_frequent(table: DataFrame, high: np.ndarray, limit: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The types with the largest counts, sorted by key: at most `limit`. exact: just the limit's, ties by key; else those
-    whose count has a power of two that all fit with."""
+def _most_frequent(table: DataFrame, high: np.ndarray, limit: int, exact: bool, column: str = "counts", kind: str = "<i8") -> tuple[np.ndarray, np.ndarray]:
+    """(keys, a column's values) of the types with the largest counts, sorted by key: at most `limit`. exact: just the
+    limit's, ties by key; else those whose count has a power of two that all fit with."""
     tail = np.cumsum(high[::-1])[::-1]
     fits = np.flatnonzero(tail <= limit)
     power = int(fits[0]) if len(fits) else 64
-    least = 1 << max(0, power - 1 if exact else power)
+    least = 1 << min(62, max(0, power - 1 if exact else power))
 
     def run(batches):
         for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, counts = unpack(k), np.frombuffer(c, "<i8")
+            for r in batch.to_pylist():
+                counts = _read(r, "counts", "<i8")
                 keep = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(_read(r, "keys")[keep].view(np.int64)), pa.array(counts[keep]), pa.array(_read(r, column, kind)[keep])], ["key", "c", "value"])
 
-    found = table.mapInArrow(run, "key long, c long")
+    found = table.mapInArrow(run, f"key long, c long, value {'long' if kind == '<i8' else 'double'}")
     if exact:
         found = found.orderBy(F.desc("c"), "key").limit(limit)
     got = found.toArrow()
-    keys, counts = got.column("key").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    keys, values = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], values[order]
 
 
 class Model:
-    """What every task needs: arrays whose size is bounded by the vocabulary and by the pairs kept."""
+    """What every task needs: totals, discounts and the bounded caches of frequent words and n-grams."""
 
-    def __init__(self, vocabulary: int):
-        self.others = vocabulary  # the class of all other words; the start of a text is the class after it
+    def __init__(self, folded: bool):
+        self.folded, self.d = folded, {}
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
-        """Class of each token; `others` for all other words."""
-        return look_up(hashes, self.words, np.arange(len(self.words)), self.others)
-
-    def pairs(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pair keys, classes); a text's first token follows the start class."""
-        own = self.classes(hashes)
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[np.cumsum(counts) - counts] = self.others + 1
-        return before.astype(np.uint64) << SHIFT | own.astype(np.uint64), own
-
-    def log_pairs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the class probabilities of pairs with their training counts."""
-        v, w = (keys >> SHIFT).astype(np.int64), (keys & ((np.uint64(1) << SHIFT) - np.uint64(1))).astype(np.int64)
-        total = np.maximum(self.context[v], 1)
-        seen = adjusted(counts, self.d2) * self.scale[v] / total
-        backed = np.where(self.context[v] > 0, self.alpha[v], 1.0) * self.class_p[w]
-        return np.log10(np.where(counts > 0, seen, np.maximum(backed, 1e-300)))
-
-    def log_rare(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of a word's share of the class of all other words."""
-        p = np.where(counts > 0, adjusted(counts, self.d1) / max(self.total, 1), self.unseen)
-        return np.log10(p / self.class_p[self.others])
+        """The tokens themselves; in a class model OTHERS for those that are not in the vocabulary."""
+        return np.where(look_up(hashes, self.words, self.counts) > 0, hashes, OTHERS) if self.folded else hashes
+
+    def words_p(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words with their training counts."""
+        return np.where(counts > 0, adjusted(counts, self.d[1]) / max(self.total, 1), self.unseen)
+
+    def own_p(self, keys: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of classes."""
+        p = self.words_p(look_up(keys, table, counts))
+        return np.where(keys == OTHERS, self.others, p) if self.folded else p
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
         """log10((c + 1) / (N + 1 * (V + 1)))."""
         return np.log10((counts + 1) / (self.total + self.types + 1))
 
 
-def train(rows: DataFrame, parts: int, vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame]:
-    """(model, word counts, pair counts) from the rows whose `held` is false."""
+def _weighed(table: DataFrame, shorter: DataFrame, k: int, parts: int, m: Model) -> DataFrame:
+    """The table of k words with log10 probabilities (values) and, in `contexts` and `weights`, the log10 backoff weights.
+
+    A context's weight needs the shorter probabilities of all that follow it: the n-grams ask the partitions of the shorter
+    table, whose sums for each context go back to the partition that has the context."""
+
+    def ask(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                word = _read(r, "words")
+                by = _read(r, "below") if k > 2 else word
+                yield _rows(_dealt("ask", by, parts, keys=chain(by, word) if k > 2 else word, contexts=_read(r, "contexts")))
+
+    def answer(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        keys, values = np.empty(0, np.uint64), np.empty(0)
+        for r in rows:
+            if r["side"] != "ask":
+                keys, values = _read(r, "keys"), _read(r, "counts", "<i8") if k == 2 else _read(r, "values", "<f8")
+        found, sums = [np.empty(0, np.uint64)], [np.empty(0)]
+        for r in rows:
+            if r["side"] == "ask":
+                own = _read(r, "keys")
+                found.append(_read(r, "contexts"))
+                sums.append(m.own_p(own, keys, values) if k == 2 else 10 ** look_up(own, keys, values, -np.inf))
+        found, sums = summed(np.concatenate(found), np.concatenate(sums))
+        return pa.Table.from_batches([_rows(_dealt("sum", found, parts, contexts=found, sums=sums))])
+
+    def weigh(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        own = [r for r in rows if r["side"] != "sum"]
+        if not own:
+            return pa.Table.from_batches([_rows([])])
+        keys, counts = _read(own[0], "keys"), _read(own[0], "counts", "<i8")
+        known, at = np.unique(_read(own[0], "contexts"), return_inverse=True)
+        backed = summed(np.concatenate([_read(r, "contexts") for r in rows if r["side"] == "sum"]), np.concatenate([_read(r, "sums", "<f8") for r in rows if r["side"] == "sum"]))
+        each = adjusted(counts, m.d[k])
+        total, kept, n = np.bincount(at, counts), np.bincount(at, each), np.bincount(at)
+        free = 1 - look_up(known, *backed, 0.0)
+        full = free < 1e-12  # every word was seen there: nothing to back off to
+        if m.folded:
+            full |= n >= len(m.words) + 1
+        scale = np.where(full, total / kept, 1.0)
+        weight = np.where(full, 1e-300, (total - kept) / total / np.where(full, 1, free))
+        row = {"side": str(k), "p": own[0]["p"], "keys": keys, "counts": counts, "values": np.log10(each * scale[at] / total[at]), "contexts": known, "weights": np.log10(weight)}
+        return pa.Table.from_batches([_rows([row])])
+
+    sums = table.mapInArrow(ask, _BLOCK).unionByName(shorter).groupBy("p").applyInArrow(answer, _BLOCK)
+    return staged(sums.unionByName(table).groupBy("p").applyInArrow(weigh, _BLOCK), f"lm-weights-{k}")
+
+
+def train(rows: DataFrame, parts: int, order: int = 2, vocabulary: int | None = None, frequent: int = FREQUENT) -> tuple[Model, list[DataFrame]]:
+    """(model, tables of the n-grams of 1, 2, ... order words) from the rows whose `held` is false."""
     rows = rows.where("not held").select("text")
-    m = Model(vocabulary)
-    unigrams = _counted(rows, "w", parts, lambda h, n: h)
-    m.total, m.types, low, high = _statistics(unigrams)
-    m.d1 = discounts(low)
-    m.words, m.counts = _most_frequent(unigrams, high, vocabulary, exact=True)
-    kept = sum(low[r] * r * (1 - m.d1[r]) for r in range(1, ORDER_K + 1)) + TAIL * (m.types - sum(low[1 : ORDER_K + 1]))
+    m = Model(vocabulary is not None)
+    tables = [_counted(rows, 1, parts, m)]
+    m.total, m.types, low, high = _statistics(tables[0])
+    m.d[1] = discounts(low)
+    m.words, m.counts = _most_frequent(tables[0], high, CACHED if vocabulary is None else vocabulary, exact=True)
+    kept = sum(low[r] * r * (1 - m.d[1][r]) for r in range(1, ORDER_K + 1)) + TAIL * (m.types - sum(low[1 : ORDER_K + 1]))
     m.unseen = kept / m.total if m.total else 1.0
-    m.class_p = np.zeros(vocabulary + 2)
-    m.class_p[: len(m.words)] = adjusted(m.counts, m.d1) / max(m.total, 1)
-    m.class_p[vocabulary] = 1 - m.class_p[:vocabulary].sum()
-    pairs = _counted(rows, "b", parts, lambda h, n, m=m: m.pairs(h, n)[0])
-    _, _, low, high = _statistics(pairs)
-    m.d2 = discounts(low)
-
-    def context_sums(batches):
-        sums = np.zeros((4, vocabulary + 2))
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, counts = unpack(k), np.frombuffer(c, "<i8")
-                v, w = (keys >> SHIFT).astype(np.int64), (keys & ((np.uint64(1) << SHIFT) - np.uint64(1))).astype(np.int64)
-                for row, x in zip(sums, (counts, adjusted(counts, m.d2), m.class_p[w], None)):
-                    row += np.bincount(v, x, vocabulary + 2)
-        used = np.flatnonzero(sums[3])
-        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(s[used]) for s in sums]], ["v", "c", "a", "p", "n"])
-
-    each = pairs.mapInArrow(context_sums, "v long, c double, a double, p double, n double")
-    got = each.groupBy("v").agg(*[F.sum(x).alias(x) for x in "capn"]).toArrow()
-    m.context, a, p, n = np.zeros((4, vocabulary + 2))
-    at = got.column("v").to_numpy()
-    for array, name in zip((m.context, a, p, n), "capn"):
-        array[at] = got.column(name).to_numpy()
-    left, free = m.context - a, 1 - p
-    full = (n >= len(m.words) + 1) | (free < 1e-12)  # every class was seen there: nothing to back off to
-    m.scale = np.where(full & (a > 0), m.context / np.maximum(a, 1e-300), 1.0)
-    m.alpha = np.where(full, 0.0, left / np.maximum(m.context, 1) / np.where(full, 1, free))
-    m.frequent, m.frequent_counts = _most_frequent(pairs, high, frequent, exact=False)
-    return m, unigrams, pairs
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+    m.others = 1 - m.words_p(m.counts).sum()
+    for k in range(2, order + 1):
+        table = _counted(rows, k, parts, m)
+        _, _, low, high = _statistics(table)
+        m.d[k] = discounts(low)
+        tables.append(_weighed(table, tables[-1], k, parts, m))
+    m.frequent, m.values = _most_frequent(tables[-1], high, frequent, False, "values", "<f8")
+    return m, tables
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, vocabulary: int | None = None, frequent: int = FREQUENT, order: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    if order < 2:
+        raise ValueError("a backoff model needs an order of two at least")
     spark: SparkSession = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_rows(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"}).withColumn("held", fold("id"))
-    model, unigrams, pairs = train(rows, parts, vocabulary, frequent)
+    model, tables = train(rows, parts, order, vocabulary, frequent)
     shared = spark.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.string())
     if kind not in ("bigint", "int", "string"):
         rows, kind = rows.withColumn("id", F.col("id").cast("string")), "string"
-
-    fields = [("side", pa.string()), ("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("batch", pa.int64()), ("docs", pa.binary()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("sums", pa.binary())]
-    schema = f"side string, p int, keys binary, counts binary, batch long, docs binary, ids array<{kind}>, held array<boolean>, sums binary"
-
-    def rows_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [()] * len(fields)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+    fields = pa.schema([*_ARROW, ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_()))])
+    schema = f"{_BLOCK}, ids array<{kind}>, held array<boolean>"
 
     def emit(batches):
-        """What is known here, a row for each batch of texts; what is not, as blocks for the partitions that know it."""
+        """What is known here, a row for each batch of texts; what is not, as questions to the partitions that know it."""
         m: Model = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             hashes, counts = tokens(batch.column("text"))
             doc = np.repeat(np.arange(batch.num_rows, dtype="<u4"), counts)
-            name = batch.column(ROW)[0].as_py()
-            keys, own = m.pairs(hashes, counts)
-            common = own != m.others
-            c = m.counts[own[common]] if len(m.counts) else np.empty(0, np.int64)
-            times = look_up(keys, m.frequent, m.frequent_counts)
-            here = times > 0
+            name, held = batch.column(ROW)[0].as_py(), batch.column("held").to_numpy(zero_copy_only=False)
+            own = m.classes(hashes)
+            before = contexts(own, counts, order)
+            keys = chain(before[-1], own)
+            c = look_up(hashes, m.words, m.counts)
+            common = c > 0
+            place = np.minimum(np.searchsorted(m.frequent, keys), max(0, len(m.frequent) - 1))
+            here = m.frequent[place] == keys if len(m.frequent) else np.zeros(len(keys), bool)
             add = lambda at, x: np.bincount(at, x, batch.num_rows)
-            sums = np.vstack([counts, add(doc[common], (c > 0).astype(float)), add(doc[common], m.log_base(c)), add(doc[here], m.log_pairs(keys[here], times[here]))])
-            found = [("d", name % parts, None, None, name, None, batch.column("id").to_pylist(), batch.column("held").to_pylist(), sums.tobytes())]
-            for side, k, at in (("w", hashes[~common], doc[~common]), ("b", keys[~here], doc[~here])):
-                order = np.argsort(k)
-                found += [(s, p, packed, None, name, d, None, None, None) for s, p, packed, d in _blocks(side, k[order], at[order], parts)]
-            yield rows_of(found)
+            value = m.values[place[here]] if len(m.frequent) else np.empty(0)
+            sums = np.vstack([counts, add(doc[common], np.ones(common.sum())), add(doc[common], m.log_base(c[common])), add(doc[here], value)])
+            found = [{"side": "d", "p": name % parts, "ids": batch.column("id").to_pylist(), "held": held.tolist(), "sums": sums}]
+            found += _dealt("1", hashes[~common], parts, keys=hashes[~common], docs=doc[~common])
+            ask, new = ~here & ~held[doc], ~here & held[doc]  # training texts have no n-gram that was not seen
+            found += _dealt(str(order), before[-1][ask], parts, keys=keys[ask], docs=doc[ask])
+            below = np.column_stack(before[:-1])[new] if order > 2 else np.empty((new.sum(), 0), np.uint64)
+            found += _dealt(str(order), before[-1][new], parts, contexts=before[-1][new], words=own[new], below=below, docs=doc[new])
+            yield _rows([r | {"batch": name} for r in found], fields)
 
     def resolve(group: pa.Table) -> pa.Table:
-        """Sums of what a partition's counts say, for each batch of texts."""
-        side = group.column("side")[0].as_py()
-        asked = group.filter(pa.compute.is_valid(group.column("batch")))
-        if side == "d" or not asked.num_rows:
-            return asked.select([n for n, _ in fields])
+        """Sums of what a partition's counts say, for each batch of texts; n-grams not seen ask on, one word shorter."""
         m: Model = shared.value
-        known = group.filter(pa.compute.is_null(group.column("batch")))
-        table, values = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if known.num_rows:
-            table, values = unpack(known.column("keys")[0].as_py()), np.frombuffer(known.column("counts")[0].as_py(), "<i8")
-        found = []
-        for name, k, d in zip(asked.column("batch").to_pylist(), asked.column("keys").to_pylist(), asked.column("docs").to_pylist()):
-            keys, doc = unpack(k), np.frombuffer(d, "<u4")
-            at, doc = np.unique(doc, return_inverse=True)
-            times = look_up(keys, table, values)
-            if side == "w":
-                each = ((times > 0).astype(float), m.log_base(times), m.log_rare(times))
+        rows = group.to_pylist()
+        side, found = rows[0]["side"], []
+        if side == "d":
+            return group.select(fields.names)
+        k = int(side)
+        table, values, known, weights = np.empty(0, np.uint64), np.empty(0, np.int64 if k == 1 else float), np.empty(0, np.uint64), np.empty(0)
+        for r in rows:
+            if r["batch"] is None:
+                table, values = _read(r, "keys"), _read(r, "counts", "<i8") if k == 1 else _read(r, "values", "<f8")
+                known, weights = _read(r, "contexts"), _read(r, "weights", "<f8")
+        for r in rows:
+            if r["batch"] is None:
+                continue
+            doc, none = _read(r, "docs", "<u4"), np.zeros(len(r["docs"]) // 4)
+            if r["words"] is not None and k == 1:  # the end of the backing off
+                each = (none, none, np.log10(np.maximum(m.own_p(_read(r, "words"), table, values), 1e-300)))
+            elif k == 1:
+                c = look_up(_read(r, "keys"), table, values)
+                share = np.log10(m.words_p(c) / m.others) if m.folded else none
+                each = ((c > 0).astype(float), m.log_base(c), share)
+            elif r["words"] is None:
+                each = (none, none, look_up(_read(r, "keys"), table, values, np.nan))
             else:
-                each = (np.zeros(len(times)), np.zeros(len(times)), m.log_pairs(keys, times))
-            sums = np.vstack([np.bincount(doc, x, len(at)) for x in each])
-            found.append((side, None, None, None, name, at.astype("<u4").tobytes(), None, None, sums.tobytes()))
-        return pa.Table.from_batches([rows_of(found)])
+                context, word = _read(r, "contexts"), _read(r, "words")
+                below = _read(r, "below").reshape(len(word), k - 2)
+                p = look_up(chain(context, word), table, values, np.nan)
+                miss = np.isnan(p)
+                each = (none, none, np.where(miss, look_up(context, known, weights, 0.0), p))
+                more = {"contexts": below[miss, -1], "below": below[miss, :-1]} if k > 2 else {}
+                found += [x | {"batch": r["batch"]} for x in _dealt(str(k - 1), more["contexts"] if more else word[miss], parts, words=word[miss], docs=doc[miss], **more)]
+            at, doc = np.unique(doc, return_inverse=True)
+            found.append({"side": "s", "batch": r["batch"], "docs": at.astype("<u4"), "sums": np.vstack([np.bincount(doc, x, len(at)) for x in each])})
+        return pa.Table.from_batches([_rows(found, fields)])
 
     def gather(group: pa.Table) -> pa.Table:
         """The texts of one batch, with the sums from all partitions."""
-        head = group.filter(pa.compute.equal(group.column("side"), "d"))
-        ids, held = head.column("ids")[0].as_py(), head.column("held")[0].as_py()
-        sums = np.frombuffer(head.column("sums")[0].as_py()).reshape(4, len(ids)).copy()
-        for side, d, s in zip(group.column("side").to_pylist(), group.column("docs").to_pylist(), group.column("sums").to_pylist()):
-            if side != "d":
-                at = np.frombuffer(d, "<u4")
-                sums[1:, at] += np.frombuffer(s).reshape(3, len(at))
-        total = model_total
-        return pa.table({"id": pa.array(ids, id_type), "held_out": held, "n_tokens": sums[0].astype(np.int64), "n_known": np.rint(sums[1]).astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": sums[2], "score": sums[3]})
+        rows = group.to_pylist()
+        head = next(r for r in rows if r["side"] == "d")
+        ids, held = head["ids"], head["held"]
+        sums = _read(head, "sums", "<f8").reshape(4, len(ids)).copy()
+        for r in rows:
+            if r["side"] == "s":
+                at = _read(r, "docs", "<u4")
+                sums[1:, at] += _read(r, "sums", "<f8").reshape(3, len(at))
+        return pa.table({"id": pa.array(ids, id_type), "held_out": held, "n_tokens": sums[0].astype(np.int64), "n_known": np.rint(sums[1]).astype(np.int64), "train_tokens": np.full(len(ids), model_total), "base_score": sums[2], "score": sums[3]})
 
     model_total = int(model.total)
-    empty = {"batch": "long", "docs": "binary", "ids": f"array<{kind}>", "held": "array<boolean>", "sums": "binary"}
-    tables = unigrams.unionByName(pairs).withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    asked = rows.mapInArrow(emit, schema).unionByName(tables)
-    partial = asked.groupBy("side", "p").applyInArrow(resolve, schema)
-    out = partial.groupBy("batch").applyInArrow(gather, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    empty = {"ids": F.lit(None).cast(f"array<{kind}>"), "held": F.lit(None).cast("array<boolean>")}
+    tables = [t.withColumns(empty) for t in tables]
+
+    def resolved(asked: DataFrame) -> DataFrame:
+        return staged(asked.groupBy("side", "p").applyInArrow(resolve, schema), "lm-sums")
+
+    out = asked = resolved(rows.mapInArrow(emit, schema).unionByName(tables[0]).unionByName(tables[-1]))
+    for k in range(order - 1, 0, -1):
+        asked = resolved(asked.where(F.col("side") == str(k)).unionByName(tables[k - 1]))
+        out = out.unionByName(asked)
+    out = out.where("side in ('d', 's')").groupBy("batch").applyInArrow(gather, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

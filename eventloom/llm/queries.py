@@ -42,10 +42,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Katz backoff scores of every document."""
+    """Katz backoff scores of every document by words, pairs and triples."""
     from eventloom.llm import katz
 
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
