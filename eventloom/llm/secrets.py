@@ -28,8 +28,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: The parts that are weak on their own.
-NAMED_ID = re.compile(r"""(?:client|account|user|access)_?(?:id|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._-]{6,64})""", re.I | re.A)
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])")
+NAMED_ID = re.compile(r"""(?:client|account|user|access)_?(?:id|key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._-]{6,}+)""", re.I | re.A)
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])")
 REACH = 256
 
@@ -54,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, bool]]:
     """(role, start, end, weak) of what may belong together; none unless the text has some identifier."""
     ids = [("identifier", s, e, False) for s, k, e in base if k == 1]
-    if "_id" in (low := text.lower()) or "id" in low or "_key" in low:
+    if "id" in (low := text.lower()) or "key" in low:
         ids += [("identifier", m.start(1), m.end(1), True) for m in NAMED_ID.finditer(text)]
     if not ids:
         return []
@@ -103,12 +103,13 @@ def _scan(rows: DataFrame) -> DataFrame:
 def link(found: DataFrame) -> DataFrame:
     """(row, start, kind, end) of the weak parts whose complement is in reach: an interval join on (row, bucket).
 
-    A part goes to the buckets that its widened interval touches and meets the parts that begin there; text length bounds
-    how many that are, so the rows grow with the text only.
+    A weak part goes to the buckets that its widened interval touches, every part to those that it covers itself, whatever
+    its length; pairs that meet in several buckets are one in the flags. Text length bounds how many buckets there are, so
+    the rows grow with the text only.
     """
     p = found.select(ROW, F.explode("parts").alias("p")).select(ROW, "p.*")
-    wide = p.where("weak").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - REACH - 128) / REACH), F.floor((F.col("end") + REACH) / REACH))))
-    near = p.select(F.col(ROW).alias("r"), F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"), F.floor(F.col("start") / REACH).alias("b"))
+    wide = p.where("weak").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - REACH) / REACH), F.floor((F.col("end") + REACH) / REACH))))
+    near = p.select(F.col(ROW).alias("r"), F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / REACH), F.floor(F.col("end") / REACH))).alias("b"))
     met = wide.join(near, (F.col(ROW) == F.col("r")) & (F.col("bucket") == F.col("b")) & (F.col("s") <= F.col("end") + REACH) & (F.col("e") >= F.col("start") - REACH) & (F.col("other") != F.col("role")))
     has = lambda role: F.max((F.col("other") == role).cast("int")) == 1
     flags = met.groupBy(ROW, "role", "start", "end").agg(has("identifier").alias("i"), has("secret").alias("x"), has("endpoint").alias("p"))
