@@ -1,10 +1,10 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 The rows of the matrix are distinct shingle sets, its columns 64-bit shingle hashes. Two sets link when
-100 * |intersection| >= 85 * |union|. Three size-derived bounds keep the product sparse, and none of them loses a link:
+100 * |intersection| >= percent * |union| (85 by default). Three size-derived bounds keep the product sparse, and none of them loses a link:
 
 * In one global order of the columns, two linked sets share at least m of their first n - ceil(.85 n) + m columns
-  (m about .15 n). Only those columns are multiplied first, and pairs that accumulate fewer than m common ones go.
+  (m about .15 n; other thresholds alike). Only those columns are multiplied first, and pairs that accumulate fewer than m common ones go.
 * A set needs m columns that some other set has too. Columns that occur once are known from a bit map of bounded size.
 * Sizes of linked sets differ by less than the threshold allows.
 
@@ -65,19 +65,19 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS):
         yield a, total[new], np.bincount(doc[new], minlength=n)
 
 
-def least_overlap(n):
+def least_overlap(n, percent: int = PERCENT):
     """The smallest intersection that a set of n columns can link with."""
-    return (PERCENT * n + 99) // 100
+    return (percent * n + 99) // 100
 
 
-def margin(n):
+def margin(n, percent: int = PERCENT):
     """m: so many of their first columns must linked sets share."""
-    return np.maximum(1, np.minimum(least_overlap(n), 15 * n // 100))
+    return np.maximum(1, np.minimum(least_overlap(n, percent), (100 - percent) * n // 100))
 
 
-def needed(n):
+def needed(n, percent: int = PERCENT):
     """The smallest margin among the sets that a set of n columns can link with."""
-    return np.maximum(1, 15 * least_overlap(n) // 100)
+    return np.maximum(1, (100 - percent) * least_overlap(n, percent) // 100)
 
 
 class Columns:
@@ -155,7 +155,7 @@ def count_columns(rows: DataFrame, parts: int, n_words: int) -> Columns:
     return Columns(np.sort(np.concatenate(common)) if common else np.empty(0, np.uint64), whole, size)
 
 
-def _measure(rows: DataFrame, columns, n_words: int) -> DataFrame:
+def _measure(rows: DataFrame, columns, n_words: int, percent: int) -> DataFrame:
     """(id, n, node, light, heavy) of every text: node names its set; light and heavy hold the first columns of sets that may
     link, null for all others."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -168,12 +168,12 @@ def _measure(rows: DataFrame, columns, n_words: int) -> DataFrame:
                 ends = np.cumsum(counts)
                 common, repeats = known.is_common(flat), known.repeats(flat)
                 doc = np.repeat(np.arange(n), counts)
-                length = counts - least_overlap(counts) + margin(counts)
+                length = counts - least_overlap(counts, percent) + margin(counts, percent)
                 rank = np.cumsum(~common) - (~common)  # among the columns that are not common, in the whole portion
                 before = np.concatenate([[0], np.cumsum(~common)])[ends - counts]
                 light = ~common & (rank - before[doc] < length[doc])
                 n_light = np.bincount(doc[~common], minlength=n)
-                may = np.bincount(doc[light & repeats], minlength=n) >= needed(counts)
+                may = np.bincount(doc[light & repeats], minlength=n) >= needed(counts, percent)
                 short = np.maximum(length - n_light, 0)
                 nodes, lights, heavies = [], [], []
                 for i in range(n):
@@ -223,7 +223,7 @@ def _lists(group: pa.Table):
     return node, size, at[:-1][keep], at[1:][keep]
 
 
-def _pairs(group: pa.Table) -> pa.Table:
+def _pairs(group: pa.Table, percent: int) -> pa.Table:
     """(a, b, na, nb, c): how many of the block's columns each pair shares, for sizes that can link."""
     node, size, starts, ends = _lists(group)
     names, own = np.unique(node, return_inverse=True)
@@ -238,7 +238,7 @@ def _pairs(group: pa.Table) -> pa.Table:
         for s in range(0, len(lists), step):
             members = own[lists[s : s + step, None] + np.arange(k)]
             a, b = members[:, i].ravel(), members[:, j].ravel()
-            fits = 100 * np.minimum(sizes[a], sizes[b]) >= PERCENT * np.maximum(sizes[a], sizes[b])
+            fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
             found.append(np.unique(a[fits] * len(names) + b[fits]) if len(lists) == 1 else a[fits] * len(names) + b[fits])
     pair, c = np.unique(np.concatenate(found), return_counts=True)
     a, b = (pair // max(1, len(names)), pair % max(1, len(names)))
@@ -305,7 +305,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
         yield i, j, shared[j]
 
 
-def _multiply(group: pa.Table) -> pa.Table:
+def _multiply(group: pa.Table, percent: int) -> pa.Table:
     """(node, other, links): for each set of a tile a set it is connected with there, and how many documents it links with."""
     node = group.column("node").to_numpy()
     root, k, n, i, j, block = (group.column(c).to_numpy() for c in ("root", "k", "n", "i", "j", "block"))
@@ -330,7 +330,7 @@ def _multiply(group: pa.Table) -> pa.Table:
 
         sizes = n[own]
         for x, y, shared in overlaps([sets[q] for q in own], left, right):
-            y = y[(100 + PERCENT) * shared >= PERCENT * (sizes[x] + sizes[y])]
+            y = y[(100 + percent) * shared >= percent * (sizes[x] + sizes[y])]
             links[own[x]] += k[own[y]].sum()
             if not within:
                 np.add.at(links, own[y], k[own[x]])
@@ -343,18 +343,20 @@ def _multiply(group: pa.Table) -> pa.Table:
     return pa.table({"node": node, "other": others, "links": links})
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n, node, root, links) of every text: root names its component's set, links counts the documents it links with
     that have another set."""
+    if not 50 <= percent <= 100:
+        raise ValueError("the bounds hold for thresholds from 50 to 100 percent")
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = with_rows(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"}).drop(ROW)
     columns = spark.sparkContext.broadcast(count_columns(rows.select("text"), parts, n_words))
-    measured = staged(_measure(rows, columns, n_words), "sets")
+    measured = staged(_measure(rows, columns, n_words, percent), "sets")
     sets = measured.where("light is not null or heavy is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
     sets = staged(sets, "first-columns")
-    pairs = _postings(sets, "light", parts).groupBy("p").applyInArrow(_pairs, "a long, b long, na long, nb long, c long")
-    least = F.greatest(F.lit(1), F.least(*[F.floor(15 * F.col(x) / 100) for x in ("na", "nb")]))
+    pairs = _postings(sets, "light", parts).groupBy("p").applyInArrow(lambda group: _pairs(group, percent), "a long, b long, na long, nb long, c long")
+    least = F.greatest(F.lit(1), F.least(*[F.floor((100 - percent) * F.col(x) / 100) for x in ("na", "nb")]))
     close = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("c") >= least).select("a", "b")
     chains = _postings(sets, "heavy", parts).groupBy("p").applyInArrow(_chains, "a long, b long")
     families = staged(components(close.union(chains), "families"), "family")
@@ -368,7 +370,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_w
     tiles = tiles.withColumns({"i": F.least("block", "other_block"), "j": F.greatest("block", "other_block")})
     shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(4 * parts))).otherwise(F.col("root"))
     tiled = tiles.withColumn("g", shared).select("g", "root", "i", "j", "block", "node", "n", "k", "columns")
-    linked = staged(tiled.groupBy("g", "i", "j", F.when(F.col("j") > 0, F.col("root")).otherwise(F.lit(0)).alias("of")).applyInArrow(_multiply, "node long, other long, links long"), "links")
+    linked = staged(tiled.groupBy("g", "i", "j", F.when(F.col("j") > 0, F.col("root")).otherwise(F.lit(0)).alias("of")).applyInArrow(lambda group: _multiply(group, percent), "node long, other long, links long"), "links")
     found = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")), "components")
     count = linked.groupBy("node").agg(F.sum("links").alias("links"))
     out = measured.select("id", "n", "node").join(found, "node", "left").join(count, "node", "left")
@@ -383,12 +385,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("root").isNull(), F.col("id"))).alias("component_id"), F.col("links").alias("n_links"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each component: that of the smallest id (the first row of repeated ids);
     documents without words stay."""
     rows = with_rows(docs, *docs.columns)
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(ROW).alias("row"))
-    found = staged(classes(rows.select(order.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))), "classes")
+    found = staged(classes(rows.select(order.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), n_words=n_words, percent=percent), "classes")
     kept = found.where("root is not null").groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
     gone = staged(found.join(kept, "root").where("id <> first").select(F.col("id.row").alias("r")), "copies")
     sure, perhaps = split_rows(rows, gone)
