@@ -256,8 +256,10 @@ def metrics_text(spark, d):
 
 @register("event_ewma")
 def event_ewma(spark, d):
-    """Moving mean of events for each source, 0.7 old + 0.3 new, by an ordered fold over each source's runs in windows of a
-    year, whose runs are few."""
-    runs = view(spark, d, "ingest_run").where("source_id is not null").groupBy("source_id", F.year("started_at").alias("year")).agg(F.array_sort(F.collect_list(F.struct("started_at", "id", "events_found"))).alias("r"))
-    fold = F.aggregate("r", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x["events_found"].cast("double")).otherwise(s * 0.7 + x["events_found"] * 0.3))
-    return runs.select("source_id", "year", F.round(fold, 6).alias("ewma"))
+    """Moving mean of events for each source over all its runs, 0.7 old + 0.3 new, the first run's count to begin with: a sum
+    in which the run that k others follow weighs 0.3 * 0.7^k, the first 0.7^k."""
+    newest = Window.partitionBy("source_id").orderBy(F.desc("started_at"), F.desc("id"))
+    runs = view(spark, d, "ingest_run").where("source_id is not null")
+    runs = runs.select("source_id", "events_found", (F.row_number().over(newest) - 1).alias("k"), F.lead("id").over(newest).isNull().alias("first"))
+    weight = F.pow(F.lit(0.7), F.col("k")) * F.when(F.col("first"), 1.0).otherwise(0.3)
+    return runs.groupBy("source_id").agg(F.round(F.sum(weight * F.col("events_found")), 6).alias("ewma"))
