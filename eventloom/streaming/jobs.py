@@ -19,6 +19,13 @@ def first_seen(items: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return items.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def in_order(rows, *columns: str):
+    """A key's rows of a micro-batch in order; they come as several frames, cut wherever an Arrow batch was full."""
+    import pandas as pd
+
+    return pd.concat(list(rows)).sort_values(list(columns)).itertuples()
+
+
 class FixedWindow(StatefulProcessor):
     """Counts calls in windows that begin with a key's first call; says which are over the limit. State is one pair a key."""
 
@@ -33,12 +40,11 @@ class FixedWindow(StatefulProcessor):
 
         start, n = self.state.get() if self.state.exists() else (None, 0)
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values(["ms", "event_id"]).itertuples():
-                if start is None or r.ms - start >= self.window_ms:
-                    start, n = r.ms, 0
-                n += 1
-                out.append((key[0], r.event_id, n, n <= self.limit))
+        for r in in_order(rows, "ms", "event_id"):
+            if start is None or r.ms - start >= self.window_ms:
+                start, n = r.ms, 0
+            n += 1
+            out.append((key[0], r.event_id, n, n <= self.limit))
         self.state.update((start, n))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "n", "allowed"])
 
@@ -56,10 +62,9 @@ class Ewma(StatefulProcessor):
         import pandas as pd
 
         mean, failures = self.state.get() if self.state.exists() else (None, 0)
-        for pdf in rows:
-            for r in pdf.sort_values(["started_ms", "id"]).itertuples():
-                mean = float(r.found) if mean is None else 0.7 * mean + 0.3 * r.found
-                failures = failures + 1 if r.failed else 0
+        for r in in_order(rows, "started_ms", "id"):
+            mean = float(r.found) if mean is None else 0.7 * mean + 0.3 * r.found
+            failures = failures + 1 if r.failed else 0
         self.state.update((mean, failures))
         yield pd.DataFrame([(key[0], round(mean, 6), failures)], columns=["source_id", "mean", "failures"])
 
