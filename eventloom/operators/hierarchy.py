@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import staged
+
 
 def paths(nodes: DataFrame, most: int = 20) -> DataFrame:
     """(id, depth, path): every node under a root. One join for each level of the tree, which ends at the deepest."""
@@ -19,20 +21,22 @@ def paths(nodes: DataFrame, most: int = 20) -> DataFrame:
     raise ValueError("the tree is deeper than allowed")
 
 
-def ancestors(nodes: DataFrame, most: int = 20) -> DataFrame:
-    """(id, ancestor, steps): all pairs; a node that is its own ancestor is on a cycle, where the walk ends."""
-    step = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"))
-    out = walk = step.withColumn("steps", F.lit(1).cast("bigint"))
+def ancestors(nodes: DataFrame, most: int = 1000) -> DataFrame:
+    """(id, ancestor, steps): all pairs, each with its fewest steps; a node that is its own ancestor is on a cycle. Walks until
+    no pair is new; each level is staged, so that deep trees keep short plans."""
+    step = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor")).distinct()
+    ahead = step.select(F.col("id").alias("at"), F.col("ancestor").alias("up"))
+    out = walk = staged(step.withColumn("steps", F.lit(1).cast("bigint")), "ancestors")
     for _ in range(most):
-        ahead = step.select(F.col("id").alias("at"), F.col("ancestor").alias("up"))
-        walk = walk.where("id <> ancestor").join(ahead, F.col("ancestor") == F.col("at")).select("id", F.col("up").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
+        further = walk.join(ahead, F.col("ancestor") == F.col("at")).select("id", F.col("up").alias("ancestor"), (F.col("steps") + 1).alias("steps")).distinct()
+        walk = staged(further.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "ancestors")
         if walk.isEmpty():
-            break
+            return out
         out = out.union(walk)
-    return out
+    raise ValueError("the tree is deeper than allowed")
 
 
-def on_cycle(nodes: DataFrame, most: int = 20) -> DataFrame:
+def on_cycle(nodes: DataFrame, most: int = 1000) -> DataFrame:
     """(id): nodes that are their own ancestors."""
     return ancestors(nodes, most).where("id = ancestor").select("id").distinct()
 

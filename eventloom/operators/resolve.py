@@ -26,11 +26,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def matches(new: DataFrame, known: DataFrame) -> DataFrame:
+def matches(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
     """(id, matched, kind, confidence): for each new event the first known one by exact fingerprint, else by similar title on
-    the same day. Both have id, title, day, fingerprint. Equal titles of a day are compared once; word overlap is computed
+    the same day; earlier: among those of smaller id, so that a table can be matched with itself. Both have id, title, day,
+    fingerprint. Equal titles of a day are compared once; word overlap is computed
     first, and character ratios only for pairs that can still pass."""
-    exact = new.select("id", "fingerprint").join(known.groupBy("fingerprint").agg(F.min("id").alias("matched")), "fingerprint")
+    before = F.col("matched") < F.col("id") if earlier else F.lit(True)
+    exact = new.select("id", "fingerprint").join(known.groupBy("fingerprint").agg(F.min("id").alias("matched")), "fingerprint").where(before)
     exact = exact.select("id", "matched", F.lit("exact").alias("kind"), F.lit(1.0).alias("confidence"))
     rest = new.join(exact.select("id"), "id", "left_anti").withColumn("t", dedup_title(F.col("title")))
     mine = rest.select("day", "t").distinct()
@@ -38,6 +40,6 @@ def matches(new: DataFrame, known: DataFrame) -> DataFrame:
     pairs = mine.join(other, "day").where((F.col("t") != "") & (F.col("u") != ""))
     pairs = pairs.withColumn("j", jaccard(F.col("t"), F.col("u"))).where(0.6 + 0.4 * F.col("j") > THRESHOLD)
     close = pairs.withColumn("s", 0.6 * char_ratio("t", "u") + 0.4 * F.col("j")).where(F.col("s") > THRESHOLD)
-    first = close.groupBy("day", "t").agg(F.min(F.struct("matched", "s")).alias("m"))
-    fuzzy = rest.join(first, ["day", "t"]).select("id", "m.matched", F.lit("fuzzy").alias("kind"), F.round("m.s", 6).alias("confidence"))
+    first = rest.join(close, ["day", "t"]).where(before).groupBy("id").agg(F.min(F.struct("matched", "s")).alias("m"))
+    fuzzy = first.select("id", "m.matched", F.lit("fuzzy").alias("kind"), F.round("m.s", 6).alias("confidence"))
     return exact.union(fuzzy)

@@ -32,10 +32,10 @@ def fingerprint_dedup(spark, d):
 
 @register("fuzzy_match")
 def fuzzy_match(spark, d):
-    """Each candidate's first match among the events: equal fingerprints, else the same day and similar titles."""
+    """Each event's first match among all earlier ones: equal fingerprints, else the same day and similar titles."""
     ship_package(spark)
     c = view(spark, d, "catalog").select("id", "title", F.to_date("start_datetime").alias("day"), fp.fp_backend(F.col("title"), F.col("start_datetime"), F.col("lat"), F.col("lng")).alias("fingerprint"))
-    return resolve.matches(c.where("id % 3 = 0"), c.where("id % 3 <> 0"))
+    return resolve.matches(c, c, earlier=True)
 
 
 RANK = lambda c: f"CASE {c} WHEN 'manual' THEN 1 WHEN 'partner' THEN 1 WHEN 'provider' THEN 2 WHEN 'api' THEN 3 WHEN 'rss' THEN 4 WHEN 'ics' THEN 4 ELSE 5 END"
