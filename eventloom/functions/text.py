@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values below: keyword lists and patterns, in the order that decides.
 FREE = ["kostenlos", "kostenfrei", "gratis", "umsonst", "eintritt frei", "freier eintritt", "ohne eintritt", "kein eintritt", "ohne kosten", "0 euro", "0€", "0,00", "for free"]
 DONATION = ["auf spendenbasis", "spende erbeten", "pay what you want", "gegen spende", "hutsammlung", "freiwilliger beitrag", "spendendose", "wertschätzung", "pay what you can", "freiwillige spende"]
+DONATION_MODE = ["spendenbasis", "spende erbeten", "pay what you want", "gegen spende", "hutsammlung", "freiwilliger beitrag"]
 AVAILABILITY = [
     ("cancelled", ["abgesagt", "entfällt", "cancelled", "fällt aus", "findet nicht statt"]),
     ("postponed", ["verschoben", "postponed", "neuer termin"]),
@@ -21,7 +24,10 @@ OUTDOOR = ["outdoor", "draußen", "garten", "park", "wald", "spielplatz"]
 ENGLISH, GERMAN = ["auf englisch", "in englisch", "english", "in english"], ["auf deutsch", "in deutsch", "auf deutscher sprache"]
 LIMITED = ["begrenzte plätze", "begrenzte teilnehmerzahl", "limited spots", "nur noch wenige plätze", "max. teilnehmer", "maximale teilnehmerzahl"]
 PARKING, NO_PARKING = ["parkplätze vorhanden", "parkplätze verfügbar", "kostenlose parkplätze", "parkhaus", "tiefgarage", "parkmöglichkeiten"], ["keine parkplätze", "kein parkplatz"]
-RECURRENCE = [(f"jeden {d.lower()}", f"jeden {d}") for d in ("Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag")] + [("täglich", "täglich"), ("jeden tag", "täglich"), ("wöchentlich", "wöchentlich"), ("monatlich", "monatlich")]
+RECURRENCE = [
+    ("jeden montag", "jeden Montag"), ("jeden dienstag", "jeden Dienstag"), ("jeden mittwoch", "jeden Mittwoch"), ("jeden donnerstag", "jeden Donnerstag"), ("jeden freitag", "jeden Freitag"), ("jeden samstag", "jeden Samstag"), ("jeden sonntag", "jeden Sonntag"),
+    ("täglich", "täglich"), ("jeden tag", "täglich"), ("wöchentlich", "wöchentlich"), ("monatlich", "monatlich"),
+]
 HARD = ["erotik", "strip", "nightclub", "bordell", "poker", "casino", "glücksspiel", "18+", "ab 18", "nur erwachsene", "adults only", "fkk"]
 SOFT = ["singles", "single-party", "speed dating", "senioren", "seniorentreff", "rentner", "business", "b2b", "networking", "geschäftlich", "unternehmer", "bier", "wein", "cocktail", "spirituosen", "whisky", "craft beer", "stammtisch", "after work", "afterwork", "firmenfeier", "firmenevent", "corporate", "meditation für erwachsene", "yoga für erwachsene", "blutspende", "impfaktion"]
 INCLUDE = ["kinder", "kids", "kind", "familie", "familien", "family", "jugend", "jugendliche", "teen", "baby", "kleinkind", "säugling", "eltern", "mutter", "vater", "mama", "papa", "schüler", "schulkind", "kindergarten", "kita", "kindertheater", "kinderkino", "kindermuseum", "kinderworkshop", "kinderkurs", "ferienprogramm", "ferienbetreuung", "spielplatz", "spielen", "vorlesestunde", "bilderbuchkino", "bastelnachmittag", "kinderflohmarkt", "kinderfest", "kinderfasching", "familiensonntag", "familientag", "krabbeln", "krabbelgruppe"]
@@ -42,12 +48,17 @@ ADDRESS_PLACEHOLDERS = ["siehe beschreibung", "s. beschreibung", "siehe text", "
 
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether any word is part of the text."""
-    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
 
+def first_hit(text: Column, words: list[str]) -> Column:
+    """The first word of the list that is part of the text; a chain of tests that compiles, unlike a lambda."""
+    return F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in words])
 
-def hits(text: Column, words: list[str]) -> Column:
-    """The words that are part of the text, in list order."""
-    return F.filter(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+
+def hit_count(text: Column, words: list[str]) -> Column:
+    """How many words of the list are part of the text."""
+    return functools.reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words])
 
 
 def part(text: Column, pattern: str, group: int = 1) -> Column:
@@ -106,7 +117,7 @@ def price(text: Column) -> Column:
 def price_details(text: Column) -> dict[str, Column]:
     """Adult, child and family prices and donation mode."""
     tail = r"[:\s]*([0-9]+(?:[,.][0-9]{2})?)\s*(?:€|euro)"
-    return {"adult": amount(text, "erwachsene" + tail), "child": amount(text, "kind(?:er)?" + tail), "family": amount(text, "familien?(?:karte|ticket)?" + tail), "donation": has_any(text, ["spendenbasis", *DONATION[1:6]])}
+    return {"adult": amount(text, "erwachsene" + tail), "child": amount(text, "kind(?:er)?" + tail), "family": amount(text, "familien?(?:karte|ticket)?" + tail), "donation": has_any(text, DONATION_MODE)}
 
 
 def age_range(text: Column, strict: bool = False) -> Column:
@@ -174,40 +185,61 @@ def time_of_day(text: Column) -> Column:
     )
 
 
-def redact(text: Column, aggressive: bool = False) -> Column:
-    """Patterns replaced one after the other; aggressive also takes streets."""
-    for name, pattern in [*PII, *([("STREET_DE", STREET)] if aggressive else [])]:
-        text = F.regexp_replace(text, f"(?iU){pattern}", f"[{name}_REDACTED]")
+#: What a text must hold for a pattern to match at all: cheap to look for, without word boundaries.
+_NEEDS = {
+    "EMAIL": "@", "PHONE_DE": r"(?:\+49|0)[\p{Nd}\s\p{Z}/()-]{6}", "PHONE_INTL": r"\+\p{Nd}", "IBAN": r"\p{L}{2}\p{Nd}{2}", "CREDIT_CARD": r"\p{Nd}{4}[\s\p{Z}-]?\p{Nd}{4}",
+    "POSTAL": r"\p{Nd}{5}", "STREET_DE": r"(?iu)(?:straße|str\.|weg|platz|gasse|allee)[\s\p{Z}]+\p{Nd}",
+}
+
+
+def redact(text: Column) -> Column:
+    """Patterns replaced one after the other."""
+    for name, pattern in PII:
+        text = _replaced(text, name, pattern)
     return text
 
 
+def redact_streets(redacted: Column) -> Column:
+    """The aggressive form of a text that is redacted already."""
+    return _replaced(redacted, "STREET_DE", STREET)
+
+
+def _replaced(text: Column, name: str, pattern: str) -> Column:
+    needed = text.contains("@") if name == "EMAIL" else text.rlike(_NEEDS[name])
+    return F.when(needed, F.regexp_replace(text, f"(?iU){pattern}", f"[{name}_REDACTED]")).otherwise(text)
+
+
 def has_pii(text: Column) -> Column:
     """Whether any pattern occurs, postal codes included."""
-    out = text.rlike(f"(?iU){POSTAL}")
-    for _, pattern in [*PII, ("", STREET)]:
-        out = out | text.rlike(f"(?iU){pattern}")
-    return out
+    found = [text.rlike(_NEEDS[name]) & text.rlike(f"(?iU){pattern}") for name, pattern in [("POSTAL", POSTAL), *PII, ("STREET_DE", STREET)]]
+    return functools.reduce(lambda a, b: a | b, found)
 
 
-def rule_filter(text: Column) -> Column:
-    """struct(relevant, confidence, reason) of the keyword rules on a lower-case text."""
-    hard, soft, inc = hits(text, HARD), hits(text, SOFT), hits(text, INCLUDE)
-    result = lambda r, c, why: F.struct(F.lit(r).cast("boolean").alias("relevant"), F.lit(c).cast("double").alias("confidence"), why.alias("reason"))
-    number = lambda p, g=1: part(text, p, g).try_cast("int")
+def rule_filter(texts: DataFrame, column: str) -> DataFrame:
+    """texts with (relevant, confidence, reason, n_hard, n_soft, n_include, categories) of the keyword rules on a lower-case column."""
+    t = F.col(column)
+    number = lambda p, g=1: part(t, p, g).try_cast("int")
     years = r"\s*(?:jahren?|j\.?)"
-    top, low = number(r"([0-9]+)\s*[-–]\s*([0-9]+)" + years, 1), number(r"ab\s*([0-9]+)" + years)
-    plus = number(r"(?:^|[^0-9A-Za-z_])([0-9]{1,2})\s*\+")
-    months = number(r"ab\s*([0-9]{1,2})\s*(?:monate?n?|mon\.?)")
-    say = lambda s: F.lit(s)
-    return (
-        F.when(F.size(hard) > 0, result(False, 0.98, F.concat(F.lit("hard:"), hard[0])))
-        .when((F.size(soft) > 0) & (F.size(inc) == 0), result(False, 0.8, F.concat(F.lit("soft:"), soft[0])))
-        .when((F.size(soft) > 0) & (F.size(inc) > 0), result(None, 0.5, say("conflict")))
-        .when(F.size(inc) > 0, result(True, 0.9, F.concat(F.lit("include:"), inc[0])))
-        .when(F.size(categories(text)) > 0, result(True, 0.8, say("category")))
-        .when(top <= 14, result(True, 0.85, say("age_range"))).when(low >= 16, result(False, 0.8, say("age_from"))).when(low <= 6, result(True, 0.9, say("age_from")))
-        .when(plus <= 14, result(True, 0.85, say("age_plus"))).when(months.isNotNull(), result(True, 0.95, say("months"))).otherwise(result(None, 0.0, say("none")))
+    lists = {"hard": HARD, "soft": SOFT, "include": INCLUDE}
+    x = texts.withColumns(
+        {f"__{n}": first_hit(t, w) for n, w in lists.items()} | {f"n_{n}": hit_count(t, w) for n, w in lists.items()}
+        | {"categories": categories(t), "__top": number(r"([0-9]+)\s*[-–]\s*([0-9]+)" + years, 1), "__low": number(r"ab\s*([0-9]+)" + years)}
+        | {"__plus": number(r"(?:^|[^0-9A-Za-z_])([0-9]{1,2})\s*\+"), "__months": number(r"ab\s*([0-9]{1,2})\s*(?:monate?n?|mon\.?)")}
+    )
+    hard, soft, inc = (F.col(f"__{n}") for n in lists)
+    result = lambda r, c, why: F.struct(F.lit(r).cast("boolean").alias("relevant"), F.lit(c).cast("double").alias("confidence"), why.alias("reason"))
+    say = F.lit
+    rule = (
+        F.when(hard.isNotNull(), result(False, 0.98, F.concat(F.lit("hard:"), hard)))
+        .when(soft.isNotNull() & inc.isNull(), result(False, 0.8, F.concat(F.lit("soft:"), soft)))
+        .when(soft.isNotNull(), result(None, 0.5, say("conflict")))
+        .when(inc.isNotNull(), result(True, 0.9, F.concat(F.lit("include:"), inc)))
+        .when(F.size("categories") > 0, result(True, 0.8, say("category")))
+        .when(F.col("__top") <= 14, result(True, 0.85, say("age_range"))).when(F.col("__low") >= 16, result(False, 0.8, say("age_from"))).when(F.col("__low") <= 6, result(True, 0.9, say("age_from")))
+        .when(F.col("__plus") <= 14, result(True, 0.85, say("age_plus"))).when(F.col("__months").isNotNull(), result(True, 0.95, say("months"))).otherwise(result(None, 0.0, say("none")))
     )
+    kept = [*texts.columns, "__rule.relevant", "__rule.confidence", "__rule.reason", "n_hard", "n_soft", "n_include", "categories"]
+    return x.withColumn("__rule", rule).select(*kept)
 
 
 def categories(text: Column) -> Column:
@@ -215,28 +247,23 @@ def categories(text: Column) -> Column:
     return F.sort_array(F.array_compact(F.array(*[F.when(has_any(text, w), F.lit(n)) for n, w in CATEGORIES.items()])))
 
 
-def german_date(text: Column) -> Column:
-    """A day in long form (14. Februar 2026) or, without one, in short form (14.02.2026); years 2020 to 2030."""
-    long = r"([0-9]{1,2})\.\s*(Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\s+([0-9]{4})"
-    short = r"([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})"
-    number = lambda p, g: part(text, p, g).try_cast("int")
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(text, "(?i)" + long, 2))).cast("int")
-    is_long = month > 0
-    y, m, d = (F.when(is_long, a).otherwise(b) for a, b in ((number("(?i)" + long, 3), number(short, 3)), (month, number(short, 2)), (number("(?i)" + long, 1), number(short, 1))))
-    return F.when(y.between(2020, 2030), F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")).try_cast("date"))
-
-
 def german_address(text: Column) -> Column:
     """Street, postal code and city in one line."""
     street = r"([A-ZÄÖÜ][A-Za-zÄÖÜäöüß.-]*(?:straße|str\.|weg|platz|gasse|allee|ring|damm|ufer)\s*[0-9]+[a-z]?)\s*,\s*([0-9]{5})\s+([A-ZÄÖÜ][A-Za-zÄÖÜäöüß-]+)"
     return F.when(part(text, street, 2).isNotNull(), F.concat(part(text, street, 1), F.lit(", "), part(text, street, 2), F.lit(" "), part(text, street, 3)))
 
 
+#: What is taken out of a user's text, and how lines begin that are dropped.
+PROMPT_MARKERS = ["```", '"""', "'''", "###", "---", "==="]
+PROMPT_ORDERS = ["system:", "user:", "assistant:", "ignore", "forget", "new instruction"]
+
+
 def sanitize_prompt(text: Column, most: int = 4000) -> Column:
-    """A user text for a prompt: capped, without control characters, role markers and lines that give orders."""
-    out = F.regexp_replace(F.substring(text, 1, most), r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    for marker in ("<|im_start|>", "<|im_end|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    """A user text for a prompt: capped, printable characters, line ends and tabs only, without markers and lines that give
+    orders, no white space at its ends."""
+    out = F.regexp_replace(F.substring(text, 1, most), r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \n\t]]", "")
+    for marker in PROMPT_MARKERS:
         out = F.replace(out, F.lit(marker), F.lit(""))
-    starts = ("system:", "assistant:", "user:", "ignore previous", "ignore all", "disregard")
-    keep = lambda line: ~F.exists(F.array(*map(F.lit, starts)), lambda s: F.lower(F.ltrim(line)).startswith(s))
-    return F.array_join(F.filter(F.split(out, "\n"), keep), "\n")
+    bare = lambda line: F.lower(F.ltrim(F.translate(line, "\t", " ")))
+    keep = lambda line: ~functools.reduce(lambda a, b: a | b, [bare(line).startswith(o) for o in PROMPT_ORDERS])
+    return F.coalesce(F.btrim(F.array_join(F.filter(F.split(out, "\n"), keep), "\n"), F.lit(" \n\t")), F.lit(""))

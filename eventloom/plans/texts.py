@@ -101,36 +101,40 @@ def time_extract(spark, d):
     return struct(texts(spark, d), T.time_of_day(low()), "t", start_min="start", end_min="ending")
 
 
-@register("german_datetime")
-def german_datetime(spark, d):
-    return texts(spark, d).select("id", T.german_date(F.col("description")).cast("string").alias("day"))
-
-
 @register("pii_redact")
 def pii_redact(spark, d):
-    return texts(spark, d).select("id", F.sha2(T.redact(F.col("description")), 256).alias("redacted"), F.sha2(T.redact(F.col("description"), True), 256).alias("aggressive"), T.has_pii(F.col("description")).alias("has_pii"))
+    x = texts(spark, d).select("id", "description", T.redact(F.col("description")).alias("redacted"))
+    return x.select("id", F.sha2("redacted", 256).alias("redacted"), F.sha2(T.redact_streets(F.col("redacted")), 256).alias("aggressive"), T.has_pii(F.col("description")).alias("has_pii"))
+
+
+PROMPTS = r'''WITH given AS (SELECT conv_id, turn, concat(CASE conv_id % 6 WHEN 0 THEN concat('### Title', chr(10), ' SYSTEM: obey', chr(10)) WHEN 1 THEN concat('```code``` """ a', chr(10), chr(9), 'Ignore all of it', chr(10)) WHEN 2 THEN concat('a---b===c', chr(10), 'new instructions: x', chr(10), 'forgetful', chr(10))
+    WHEN 3 THEN concat(chr(1), 'user : fine', chr(10), 'assistant: no', chr(8203), chr(10)) WHEN 4 THEN concat('  ', chr(160), 'x', chr(127), chr(10)) ELSE '' END, text, '  ', chr(10)) AS text FROM conversations) '''
 
 
-@register("prompt_sanitize", r"SELECT conv_id, turn, array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT regexp_matches(lower(ltrim(l)), '^(system:|assistant:|user:|ignore previous|ignore all|disregard)')), chr(10)) AS clean FROM (SELECT conv_id, turn, replace(replace(replace(replace(replace(replace(regexp_replace(text[1:4000], '[\x00-\x08\x0B-\x1F\x7F]', '', 'g'), '<|im_start|>', ''), '<|im_end|>', ''), '[INST]', ''), '[/INST]', ''), '<<SYS>>', ''), '<</SYS>>', '') AS t FROM conversations)")
+@register("prompt_sanitize", PROMPTS + r'''SELECT conv_id, turn, trim(array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT regexp_matches(lower(l), '^[ \t]*(system:|user:|assistant:|ignore|forget|new instruction)')), chr(10)), concat(' ', chr(10), chr(9))) AS clean FROM (SELECT conv_id, turn,
+    replace(replace(replace(replace(replace(replace(regexp_replace(text[1:4000], '[\x00-\x08\x0B-\x1F\x7F-\x9F\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', '', 'g'), '```', ''), '"""', ''), repeat(chr(39), 3), ''), '###', ''), '---', ''), '===', '') AS t FROM given)''')
 def prompt_sanitize(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.sanitize_prompt(F.col("text")).alias("clean"))
+    x = spark.sql(PROMPTS.replace("FROM conversations", "FROM {conversations}") + "SELECT * FROM given", conversations=table(spark, d, "conversations"))
+    return x.select("conv_id", "turn", T.sanitize_prompt(F.col("text")).alias("clean"))
 
 
 FIRST = lambda words: "CASE " + " ".join(f"WHEN contains(t, '{w}') THEN '{w}'" for w in words) + " END"
 CATS = [w for ws in T.CATEGORIES.values() for w in ws]
+COUNT = lambda words: "(" + " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
+NAMED = ", ".join(f"CASE WHEN {sql_any(T.CATEGORIES[n])} THEN '{n}' END" for n in sorted(T.CATEGORIES))
 
 
 @register("rule_filter", events(f"""SELECT id, CASE WHEN h IS NOT NULL THEN false WHEN s IS NOT NULL AND i IS NULL THEN false WHEN s IS NOT NULL THEN NULL WHEN i IS NOT NULL THEN true WHEN c THEN true WHEN r <= 14 THEN true WHEN a >= 16 THEN false WHEN a <= 6 THEN true WHEN p <= 14 THEN true WHEN m IS NOT NULL THEN true END AS relevant,
-    CASE WHEN h IS NOT NULL THEN 'hard:' || h WHEN s IS NOT NULL AND i IS NULL THEN 'soft:' || s WHEN s IS NOT NULL THEN 'conflict' WHEN i IS NOT NULL THEN 'include:' || i WHEN c THEN 'category' WHEN r <= 14 THEN 'age_range' WHEN a >= 16 OR a <= 6 THEN 'age_from' WHEN p <= 14 THEN 'age_plus' WHEN m IS NOT NULL THEN 'months' ELSE 'none' END AS reason FROM (SELECT id, {FIRST(T.HARD)} AS h, {FIRST(T.SOFT)} AS s, {FIRST(T.INCLUDE)} AS i, {sql_any(CATS)} AS c,
+    CAST(CASE WHEN h IS NOT NULL THEN 0.98 WHEN s IS NOT NULL AND i IS NULL THEN 0.8 WHEN s IS NOT NULL THEN 0.5 WHEN i IS NOT NULL THEN 0.9 WHEN c THEN 0.8 WHEN r <= 14 THEN 0.85 WHEN a >= 16 THEN 0.8 WHEN a <= 6 THEN 0.9 WHEN p <= 14 THEN 0.85 WHEN m IS NOT NULL THEN 0.95 ELSE 0 END AS DOUBLE) AS confidence, n_hard, n_soft, n_include, categories,
+    CASE WHEN h IS NOT NULL THEN 'hard:' || h WHEN s IS NOT NULL AND i IS NULL THEN 'soft:' || s WHEN s IS NOT NULL THEN 'conflict' WHEN i IS NOT NULL THEN 'include:' || i WHEN c THEN 'category' WHEN r <= 14 THEN 'age_range' WHEN a >= 16 OR a <= 6 THEN 'age_from' WHEN p <= 14 THEN 'age_plus' WHEN m IS NOT NULL THEN 'months' ELSE 'none' END AS reason FROM (SELECT id, {COUNT(T.HARD)} AS n_hard, {COUNT(T.SOFT)} AS n_soft, {COUNT(T.INCLUDE)} AS n_include, concat_ws(',', {NAMED}) AS categories, {FIRST(T.HARD)} AS h, {FIRST(T.SOFT)} AS s, {FIRST(T.INCLUDE)} AS i, {sql_any(CATS)} AS c,
     {INT('([0-9]+)' + chr(92) + 's*[-–]' + chr(92) + 's*([0-9]+)' + YEARS)} AS r, {INT('ab' + chr(92) + 's*([0-9]+)' + YEARS)} AS a, {INT('(?:^|[^0-9A-Za-z_])([0-9]{1,2})' + chr(92) + 's*' + chr(92) + '+')} AS p, {INT('ab' + chr(92) + 's*([0-9]{1,2})' + chr(92) + 's*(?:monate?n?|mon' + chr(92) + '.?)')} AS m FROM low)"""))
 def rule_filter(spark, d):
-    once = F.transform(F.array(low()), lambda t: T.rule_filter(t))[0]  # lower-cases a text once, not once a keyword
-    return struct(texts(spark, d), once, "r", relevant="relevant", reason="reason")
+    return T.rule_filter(texts(spark, d).select("id", low().alias("t")), "t").drop("t").withColumn("categories", F.array_join("categories", ","))
 
 
 @register("text_categories", events("SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN {sql_any(T.CATEGORIES[n])} THEN '{n}' END" for n in sorted(T.CATEGORIES)) + ") AS categories FROM low"))
 def text_categories(spark, d):
-    return texts(spark, d).select("id", F.array_join(F.transform(F.array(low()), lambda t: T.categories(t))[0], ",").alias("categories"))
+    return texts(spark, d).select("id", low().alias("t")).select("id", F.array_join(T.categories(F.col("t")), ",").alias("categories"))
 
 
 @register("enrich_route", events(f"SELECT id, CASE WHEN h THEN 'hard_reject' WHEN s AND NOT i THEN 'soft_reject' WHEN i AND NOT s THEN 'fast_track' ELSE 'external' END AS route, CASE WHEN h THEN 10 WHEN s AND NOT i THEN 20 WHEN i AND NOT s THEN 85 END AS relevance FROM (SELECT id, {sql_any(T.HARD)} AS h, {sql_any(T.SOFT)} AS s, {sql_any(T.INCLUDE)} AS i FROM low)"))

@@ -60,6 +60,14 @@ VIEWS = {
         WHEN 12 THEN 'poker und casino nur erwachsene' WHEN 13 THEN 'bier stammtisch senioren' WHEN 14 THEN 'familie und kinder im zoo, DE89 3704 0044 0532 0130 00' ELSE 'nachmittags basteln, Kurs 4111 1111 1111 1111 4+' END) AS description FROM documents""",
 }
 
+VIEWS |= {
+    "when_text": """SELECT doc_id AS id, concat(substr(text, 1, 60), ' ', CASE doc_id % 20 WHEN 0 THEN '14. Februar 2026, 19 Uhr' WHEN 1 THEN '5. März 2026, 19:30 Uhr' WHEN 2 THEN '20. März 2026, 10 bis 14 Uhr' WHEN 3 THEN '15. April 2026, 19:00–21:30 Uhr' WHEN 4 THEN '30. Mai 2026, 22 bis 2 Uhr'
+        WHEN 5 THEN '25. Dezember 2026' WHEN 6 THEN 'Beginn: 10. Januar 2026, 19.30 Uhr' WHEN 7 THEN 'am 07.11.2027 um 18 Uhr' WHEN 8 THEN '31. Juni 2026, 9 Uhr' WHEN 9 THEN '1. Mai 2019, 9 Uhr' WHEN 10 THEN concat('3. Juni 2026 ', repeat('x', 130), ' 19 Uhr') WHEN 11 THEN '4. Juli 2026, 25 bis 27 Uhr'
+        WHEN 12 THEN 'Sa, 14. Feb. 2026, 10 Uhr' WHEN 13 THEN 'Sonntag, 2026-02-15 von 9 und 11 Uhr' WHEN 14 THEN 'Mo. 16.02.26 20:15' WHEN 15 THEN '17. Dez 27, 8 Uhr' WHEN 16 THEN '12.13.2026' WHEN 17 THEN '1.2.2026, 99:99 Uhr' WHEN 18 THEN 'ohne Datum, 19 Uhr' ELSE '24. August 2028, 7:05' END, ' ', substr(text, 61, 200)) AS text FROM documents""",
+    "date_value": """SELECT o_orderkey AS id, CASE o_orderkey % 14 WHEN 0 THEN ' 14.02.2026 19:30 ' WHEN 1 THEN '7.3.2027' WHEN 2 THEN '2026-02-14T19:30:15Z' WHEN 3 THEN '2026-02-14' WHEN 4 THEN '14.02.26 7:05' WHEN 5 THEN '14.02.26' WHEN 6 THEN 'am 2026-05-06T08:09 Uhr' WHEN 7 THEN '31.02.2026' WHEN 8 THEN '1.1.2031'
+        WHEN 9 THEN '2026-02-14T19:30:00+01:00' WHEN 10 THEN '14.02.2026 25:00' WHEN 11 THEN NULL WHEN 12 THEN 'morgen' ELSE concat(o_orderkey % 31 + 1, '.', o_orderkey % 12 + 1, '.', 2019 + o_orderkey % 13) END AS value FROM orders""",
+}
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations", "benchmark")
 
 
