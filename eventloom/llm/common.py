@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.session import ship_package, staged
+from eventloom.session import discard, ship_package, staged
 
 ROW = "__row"
 
@@ -15,13 +19,69 @@ ROW = "__row"
 def with_rows(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns (null where missing) and a row id that keeps repeated rows apart.
 
-    The id depends only on how Spark splits the input, so that a retried task makes the same ids.
+    The id depends on how Spark splits the input, so it holds within one pass only: who reads rows twice and joins them by
+    their ids takes whole_rows.
     """
     ship_package(df.sparkSession)
     kept = [F.col(f"`{c}`").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
     return df.select(*kept).withColumn(ROW, F.monotonically_increasing_id())
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """(doc, row id): every column of df inside one struct, so that no name can clash, staged so that all reads agree on ids."""
+    ship_package(df.sparkSession)
+    return staged(df.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+#: What workers remember between rows; forgotten when a task ends.
+_FORGET: list = []
+
+
+def remembered(cache):
+    """Decorator for lru_cache'd tables of a worker: they go when its task ends."""
+    _FORGET.append(cache.cache_clear)
+    return cache
+
+
+def release() -> None:
+    """Give a worker's memory back: workers are reused by other stages, and what one keeps adds up in an executor."""
+    for forget in _FORGET:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run, a function over the batches of a task, that leaves no memory behind in the worker."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def lean_group(run, least: int = 4 << 20):
+    """run, a function over the table of a group, that leaves no memory of large groups behind."""
+
+    @functools.wraps(run)
+    def task(group):
+        large = group.nbytes >= least
+        out = run(group)
+        del group
+        if large:
+            release()
+        return out
+
+    return task
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -63,6 +123,11 @@ def _powers(n: int, known=[np.ones(1, np.uint64)]) -> np.ndarray:  # noqa: B006
     return known[0]
 
 
+def byte_values(data: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """What each byte adds to the hash of its word; within: its place there."""
+    return _BYTE_VALUE[data] * _powers(int(within.max()) + 1)[within]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each lower-cased word, number of words in each text), over a whole batch at once.
 
@@ -83,8 +148,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.searchsorted(letters, starts)  # where each word begins among the letters
     lengths = np.diff(np.append(at, len(letters)))
     within = np.arange(len(letters)) - np.repeat(at, lengths)
-    value = _BYTE_VALUE[LOWER[data[letters]]] * _powers(int(lengths.max()) + 1)[within]
-    hashes = mix(np.add.reduceat(value, at) + lengths.astype(np.uint64))
+    hashes = mix(np.add.reduceat(byte_values(LOWER[data[letters]], within), at) + lengths.astype(np.uint64))
     counts = np.diff(np.searchsorted(starts, offsets))
     return hashes, counts
 
@@ -154,16 +218,25 @@ def split_rows(rows: DataFrame, listed: DataFrame, key: str = "r") -> tuple[Data
                 if keep.any():
                     yield batch.filter(pa.array(keep))
 
-        return marked.mapInArrow(run, marked.schema).drop("__slot")
+        return marked.mapInArrow(lean(run), marked.schema).drop("__slot")
 
     return only(False), only(True)
 
 
-def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """big joined with small, which has a row for each key, so that the rows of a frequent key go to `salts` tasks:
+    `by` deals big's rows out, small's rows are there once for each of them."""
+    left = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def components(edges: DataFrame, label: str, rounds: int = 200) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
 
     Large-star and small-star rounds by turns; each row count is at most that of the edges, and every round is
-    staged in the shared folder. Stops when a round changes nothing.
+    staged in the shared folder. Stops when a round changes nothing. The number of rounds grows with the logarithm of the
+    longest path; should `rounds` not do, the job fails rather than return parts of components.
     """
 
     def neighbours(e: DataFrame) -> DataFrame:
@@ -179,12 +252,13 @@ def components(edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
             break
         both = neighbours(e)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, least, "a", F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+            spread_join(large, low, "a", F.col("b")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         ).distinct()
-        e = staged(small, label)
+        before, e = e, staged(small, label)
+        discard(before)
         now = tally(e)
         if now == seen:
             break
