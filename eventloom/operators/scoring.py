@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.search import RESTRICTED, ts
@@ -48,10 +48,21 @@ def missing_fields() -> Column:
     return listed((no("start_datetime"), "start_datetime"), (no("address"), "location_address"), (no("price_min") & no("price_max"), "price"), (no("age_min") & no("age_max"), "age_range"), (no("description_short") | (F.col("description_short") == ""), "description_short"))
 
 
-def ratio_completeness(required: list[str], optional: list[str]) -> Column:
-    """Half for required fields, half for optional ones, cut to a whole number."""
-    share = lambda names: sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)) / len(names)
-    return F.floor(share(required) * 50 + share(optional) * 50).cast("bigint")
+def ratio_completeness(required: list[str], optional: list[str], df: DataFrame) -> Column:
+    """Half for required fields, half for optional ones, cut to a whole number. Empty texts are missing, and so are zero and
+    false among the optional fields."""
+    kind = dict(df.dtypes)
+
+    def filled(c: str, strict: bool) -> Column:
+        present = F.col(c).isNotNull()
+        if kind[c] == "string":
+            present = present & (F.col(c) != "")
+        elif strict:
+            present = present & (F.col(c) if kind[c] == "boolean" else F.col(c) != 0 if not kind[c].startswith("timestamp") else F.lit(True))
+        return yes(present).cast("int")
+
+    share = lambda names, strict: sum((filled(c, strict) for c in names), F.lit(0)) / len(names) * 50
+    return F.floor(share(required, False) + share(optional, True)).cast("bigint")
 
 
 def initial_status(score: Column) -> Column:
@@ -108,10 +119,10 @@ def tip_scores(now: str) -> dict[str, Column]:
     return {"match": match, "popularity": popularity, "freshness": fresh, "distance": near, "total": popularity * 0.2 + match * 0.4 + fresh * 0.15 + near * 0.25}
 
 
-def badges(now: str) -> Column:
-    """The first three badges; trending depends on the largest save count of all rows in question."""
+def badges(now: str, largest: Column) -> Column:
+    """The first three badges; trending depends on the largest save count of all rows in question, a one-row aggregate."""
     hours = F.timestamp_diff("SECOND", ts(now), F.col("start_datetime")) / 3600
-    most = F.greatest(F.lit(1), F.max("save_count").over(Window.partitionBy(F.lit(0))))
+    most = F.greatest(F.lit(1), largest)
     seen = F.col("save_count") + F.col("view_count")
     trending = yes((seen >= 0.5 * most) & (seen > 2))
     found = listed(
@@ -137,6 +148,65 @@ def review_reason() -> Column:
     return F.when(F.col("status") != "rejected", None).when(yes(F.col("family_fit") < 30), "AI_REJECTED").otherwise("MANUAL_REJECTED")
 
 
+def varied(scored: DataFrame, group: str, target: int = 3) -> DataFrame:
+    """(group, id, rank): the first two by score always, then only events with a category that is new, then the best left over;
+    all where there are no more than `target`. Callers bound a group's candidates before."""
+
+    def pick(pdf):
+        rows = pdf.sort_values(["total", "id"], ascending=[False, True]).to_dict("records")
+        taken, seen = [], set()
+        for r in rows if len(rows) > target else []:
+            if len(taken) < target and (len(taken) < 2 or any(c not in seen for c in r["slugs"])):
+                taken.append(r["id"])
+                seen.update(r["slugs"])
+        for r in rows:
+            if len(taken) < target and r["id"] not in taken:
+                taken.append(r["id"])
+        import pandas as pd
+
+        return pd.DataFrame({group: [rows[0][group]] * len(taken), "id": taken, "rank": range(1, len(taken) + 1)})
+
+    return scored.groupBy(group).applyInPandas(pick, f"{group} {scored.schema[group].dataType.simpleString()}, id bigint, rank bigint")
+
+
+def optimise(scored: DataFrame, group: str, budget: float, heads: int, children: int) -> DataFrame:
+    """(group, id, slot, rank): up to three events that the budget allows, the first two with a new category where there is
+    choice, and up to three other indoor events as plan B. Rows: group, id, total, price_type, price_min, is_indoor, slugs."""
+
+    def pick(pdf):
+        import pandas as pd
+
+        rows = pdf.sort_values(["total", "id"], ascending=[False, True]).to_dict("records")
+        main, seen, spent = [], set(), 0.0
+        for r in rows:
+            if len(main) >= 3:
+                break
+            low = r["price_min"]
+            cost = low * heads if r["price_type"] != "free" and low is not None and low == low else 0.0
+            if spent + cost > budget:
+                continue
+            own = set(r["slugs"])
+            if len(main) < 2 and own and own <= seen and len(rows) > len(main) + 3:
+                continue
+            main.append(r["id"])
+            seen |= own
+            spent += cost
+        other = [r["id"] for r in rows if r["id"] not in main and r["is_indoor"]][:3]
+        made = [(rows[0][group], i, "main", k + 1) for k, i in enumerate(main)] + [(rows[0][group], i, "plan_b", k + 1) for k, i in enumerate(other)]
+        return pd.DataFrame(made, columns=[group, "id", "slot", "rank"])
+
+    return scored.groupBy(group).applyInPandas(pick, f"{group} {scored.schema[group].dataType.simpleString()}, id bigint, slot string, rank bigint")
+
+
+def plan_score(budget: float, ages: list[int]) -> Column:
+    """An event's score for a family's day: AI scores (50 where they are zero or missing), distance, price, children of its ages."""
+    half = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(50))
+    base = F.when(F.col("event_id").isNotNull(), half("family_fit") * 0.3 + half("stressfree") * 0.2 + half("quality") * 0.1).otherwise(50.0)
+    price = F.when(F.col("price_type") == "free", 15).when(yes((F.col("price_min") != 0) & (F.col("price_min") <= budget / 4)), 10).otherwise(0)
+    suits = sum((yes(F.lit(a).between(F.coalesce("age_min", F.lit(0)), F.coalesce("age_max", F.lit(18)))).cast("int") for a in ages), F.lit(0))
+    return base - F.coalesce("distance_km", F.lit(10)) * 2 + price + suits * 5
+
+
 def rerank(scored: DataFrame, group: str, limit: int = 10, per_key: int = 2) -> DataFrame:
     """Greedy diversity inside each group's candidates: a budget pick first, then by score, at most per_key of a category or
     place; free places are filled by score. Callers bound a group's candidates (a top 50) before."""

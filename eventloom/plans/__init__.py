@@ -1,3 +1,3 @@
 """The query catalogue, by theme."""
 
-from eventloom.plans import aggregates, dates, merging, scoring, searching, sourcing, streams, texts  # noqa: F401
+from eventloom.plans import aggregates, canonical, dates, fields, merging, planning, scoring, searching, sourcing, streams, texts  # noqa: F401

@@ -44,13 +44,17 @@ def missing_fields(spark, d):
     return view(spark, d, "catalog").select("id", text(scoring.missing_fields()).alias("missing"))
 
 
-REQUIRED, OPTIONAL = ["title", "start_datetime", "address", "price_min", "description_short"], ["end_datetime", "price_max", "age_min", "age_max", "lat", "lng", "district", "booking_url", "contact_email", "age_rating", "description_long", "confidence"]
-_share = lambda names: "(" + " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in names) + f") / {len(names)}"
+#: Required and optional fields.
+REQUIRED = ["title", "start_datetime", "address", "price_type", "booking_url"]
+OPTIONAL = ["description_short", "description_long", "end_datetime", "lat", "lng", "age_min", "age_max", "is_indoor", "is_outdoor", "contact_email", "contact_phone", "n_images"]
+_FILLED = {"start_datetime": "start_datetime IS NOT NULL", "end_datetime": "end_datetime IS NOT NULL", "is_indoor": "is_indoor", "is_outdoor": "is_outdoor"} | {c: f"{c} <> 0" for c in ("lat", "lng", "age_min", "age_max", "n_images")}
+_share = lambda names: "(" + " + ".join(f"CASE WHEN {_FILLED.get(c, c + chr(60) + chr(62) + repr(str()))} THEN 1 ELSE 0 END" for c in names) + f") / {len(names)} * 50"
 
 
-@register("completeness_ratio", ctes("catalog") + f"SELECT id, CAST(floor({_share(REQUIRED)} * 50 + {_share(OPTIONAL)} * 50) AS BIGINT) AS score FROM catalog")
+@register("completeness_ratio", ctes("catalog") + f"SELECT id, CAST(floor({_share(REQUIRED)} + {_share(OPTIONAL)}) AS BIGINT) AS score FROM catalog")
 def completeness_ratio(spark, d):
-    return view(spark, d, "catalog").select("id", scoring.ratio_completeness(REQUIRED, OPTIONAL).alias("score"))
+    c = view(spark, d, "catalog")
+    return c.select("id", scoring.ratio_completeness(REQUIRED, OPTIONAL, c).alias("score"))
 
 
 @register("ai_status", ctes("catalog", "scores") + "SELECT id, CASE WHEN coalesce(completeness, 0) < 50 THEN 'incomplete' WHEN family_fit < 30 THEN 'rejected' WHEN confidence >= 0.8 AND family_fit >= 50 THEN 'published' ELSE 'pending_review' END AS ai_status FROM catalog LEFT JOIN scores ON id = event_id")
@@ -90,7 +94,7 @@ def tip_scores(spark, d):
     FROM (SELECT *, {MATCH} AS m, date_diff('second', TIMESTAMP '{NOW}', start_datetime) / 3600 AS h, (save_count + view_count >= 0.5 * greatest(1, max(save_count) OVER ()) AND save_count + view_count > 2) AS t FROM near)""")
 def tip_badges(spark, d):
     x = near(spark, d).withColumn("match", F.round(scoring.tip_scores(NOW)["match"], 6))
-    return x.select("id", text(scoring.badges(NOW)).alias("badges"))
+    return x.select("id", text(scoring.badges(NOW, view(spark, d, "catalog").agg(F.max("save_count")).scalar())).alias("badges"))
 
 
 @register("daily_tip")
@@ -120,32 +124,40 @@ def needs_review(spark, d):
     return scored(spark, d).where((F.col("status") == "pending_review") | (F.col("confidence") < 0.7) | ((fit >= 40) & (fit < 60))).select("id")
 
 
-#: Weights of the weighted quality.
-WEIGHTS = {"title": 3, "description_short": 2, "start_datetime": 3, "address": 2, "venue_name": 1, "price_min": 1, "age_min": 1, "booking_url": 1, "end_datetime": 1}
+#: When a field counts as filled, as a test that both engines read, and its weight.
+FILLED = {
+    "title": ("trim(title) <> ''", 3.0), "description": ("length(trim(description_short)) > 10", 2.0), "start_datetime": ("start_datetime IS NOT NULL", 3.0), "end_datetime": ("end_datetime IS NOT NULL", 1.0), "location_address": ("trim(address) <> ''", 2.0), "venue_name": ("trim(venue_name) <> ''", 1.0),
+    "price_type": ("price_type <> 'unknown'", 1.5), "price_min": ("price_min IS NOT NULL", 1.0), "age_min": ("age_min IS NOT NULL", 1.0), "image_urls": ("n_images > 0", 1.5), "booking_url": ("booking_url LIKE 'http%'", 1.0),
+}
+TOTAL = sum(w for _, w in FILLED.values())
+_covered = lambda test: f"round_even(count(*) FILTER (WHERE {test}) / count(*) * 100, 1)"
 
 
-@register("field_coverage", ctes("catalog") + " UNION ALL ".join(f"SELECT source_id, '{f}' AS field, round(count({f}) * 100 / count(*), 4) AS percent FROM catalog GROUP BY source_id" for f in WEIGHTS))
+def coverage(spark, d):
+    """The share of events with each field, in percent, for each source."""
+    return view(spark, d, "catalog").groupBy("source_id").agg(*[F.bround(F.count_if(F.expr(test)) / F.count("*") * 100, 1).alias(f) for f, (test, _) in FILLED.items()])
+
+
+@register("field_coverage", ctes("catalog") + " UNION ALL ".join(f"SELECT source_id, '{f}' AS field, {_covered(t)} AS percent FROM catalog GROUP BY source_id" for f, (t, _) in FILLED.items()))
 def field_coverage(spark, d):
-    c = view(spark, d, "catalog").groupBy("source_id").agg(*[F.round(F.count(f) * 100 / F.count("*"), 4).alias(f) for f in WEIGHTS])
-    return c.unpivot("source_id", list(WEIGHTS), "field", "percent")
+    return coverage(spark, d).unpivot("source_id", list(FILLED), "field", "percent")
 
 
-@register("quality_score", ctes("catalog") + "SELECT source_id, round((" + " + ".join(f"count({f}) / count(*) * {w}" for f, w in WEIGHTS.items()) + f") / {sum(WEIGHTS.values())} * 100, 4) AS quality FROM catalog GROUP BY source_id")
+@register("quality_score", ctes("catalog") + "SELECT source_id, round_even((" + " + ".join(f"{_covered(t)} * {w}" for t, w in FILLED.values()) + f") / {TOTAL}, 1) AS quality FROM catalog GROUP BY source_id")
 def quality_score(spark, d):
-    total = sum((F.count(f) / F.count("*") * w for f, w in WEIGHTS.items()), F.lit(0.0))
-    return view(spark, d, "catalog").groupBy("source_id").agg(F.round(total / sum(WEIGHTS.values()) * 100, 4).alias("quality"))
+    return coverage(spark, d).select("source_id", F.bround(sum((F.col(f) * w for f, (_, w) in FILLED.items()), F.lit(0.0)) / TOTAL, 1).alias("quality"))
 
 
 @register("plan_select")
 def plan_select(spark, d):
-    """Three varied events for each provider's day plan: two by rank, then new categories, from its 20 best."""
+    """Three varied events for each provider's day plan, from its 20 best."""
     distance = F.when(F.col("distance_km").isNull() | (F.col("distance_km") == 0), 100.0).otherwise(F.col("distance_km"))
     rank = 0.6 * (F.coalesce("family_fit", F.lit(0)) + F.coalesce("stressfree", F.lit(0))) - 4 * distance
     x = near(spark, d).where(search.displayable(NOW)).withColumn("total", rank)
     best = search.first_per(x, "provider_id", [F.desc("total"), F.asc("id")], 20).drop("rank")
     slugs = view(spark, d, "event_category").groupBy(F.col("event_id").alias("kid")).agg(F.collect_list("slug").alias("slugs"))
     x = best.join(slugs, F.col("kid") == F.col("id"), "left").select("provider_id", "id", "total", "price_type", "price_min", F.coalesce("slugs", F.array()).alias("slugs"), F.coalesce("venue_name", F.lit("unknown")).alias("place"))
-    return scoring.rerank(x, "provider_id", limit=3, per_key=1)
+    return scoring.varied(x, "provider_id")
 
 
 @register("review_client_filter", ctes("catalog", "scores") + "SELECT id, coalesce(family_fit, 0) AS score FROM catalog LEFT JOIN scores ON id = event_id WHERE (title ILIKE '%urgent%' OR address ILIKE '%urgent%') AND family_fit >= 20")

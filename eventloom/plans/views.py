@@ -41,7 +41,7 @@ VIEWS = {
         o_orderkey % 97 AS view_count, o_orderkey % 13 AS save_count,
         CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 101 AS DOUBLE) / 100 END AS confidence,
         CASE WHEN o_orderkey % 7 <> 3 THEN (o_orderkey * 37) % 101 END AS completeness,
-        CASE WHEN o_orderkey % 50 = 1 THEN o_orderkey - 1 END AS rescheduled_to, o_orderkey % 10 AS source_id FROM orders""",
+        CASE WHEN o_orderkey % 50 = 1 THEN o_orderkey - 1 END AS rescheduled_to, CASE WHEN o_orderkey % 6 < 2 THEN concat('0721/', o_orderkey) WHEN o_orderkey % 6 = 2 THEN '' END AS contact_phone, o_orderkey % 4 AS n_images, o_orderkey % 10 AS source_id FROM orders""",
     "scores": "SELECT o_orderkey AS event_id, (o_orderkey * 3) % 101 AS relevance, (o_orderkey * 5) % 101 AS quality, (o_orderkey * 7) % 101 AS family_fit, (o_orderkey * 11) % 101 AS stressfree, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 101 END AS fun FROM orders WHERE o_orderkey % 5 <> 0",
     "event_category": "SELECT DISTINCT l_orderkey AS event_id, lower(p_type) AS slug FROM lineitem JOIN part ON l_partkey = p_partkey",
     "provider": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type FROM customer",
@@ -61,6 +61,18 @@ VIEWS = {
 }
 
 VIEWS |= {
+    "candidate": """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'scraper' ELSE 'api' END AS source_type, concat('Candidate ', o_orderkey) AS title, CASE WHEN o_orderkey % 4 <> 0 THEN repeat('ab. ', CAST(o_orderkey % 200 AS INT)) END AS description,
+        CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS start_at, CASE WHEN o_orderkey % 5 = 1 THEN o_orderdate + INTERVAL '3' HOUR END AS end_at,
+        CASE WHEN o_orderkey % 4 = 1 THEN concat('Weg ', o_orderkey) WHEN o_orderkey % 4 = 2 THEN '' END AS address, CASE WHEN o_orderkey % 7 < 3 THEN concat('Haus ', o_orderkey % 40) END AS venue_name, CASE WHEN o_orderkey % 8 < 4 THEN 'Karlsruhe' END AS city, CASE WHEN o_orderkey % 9 < 4 THEN '76131' END AS postal_code,
+        CASE o_orderkey % 6 WHEN 0 THEN 'free' WHEN 1 THEN 'paid' WHEN 2 THEN 'bogus' WHEN 3 THEN NULL WHEN 4 THEN 'unknown' ELSE 'range' END AS price_type, CASE WHEN o_orderkey % 5 = 0 THEN CAST(0 AS DOUBLE) WHEN o_orderkey % 5 < 3 THEN CAST(o_orderkey % 40 AS DOUBLE) END AS price_min, CASE WHEN o_orderkey % 7 = 0 THEN CAST(50 AS DOUBLE) END AS price_max,
+        CASE WHEN o_orderkey % 4 = 0 THEN CAST(0 AS DOUBLE) WHEN o_orderkey % 4 = 1 THEN CAST(49.5 AS DOUBLE) END AS lat, CASE WHEN o_orderkey % 4 = 1 THEN CAST(8.5 AS DOUBLE) END AS lng, CASE WHEN o_orderkey % 3 = 0 THEN 49.1E0 END AS geo_lat, CASE WHEN o_orderkey % 3 = 0 THEN 8.1E0 END AS geo_lng,
+        CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 3 * 3 END AS age_min, CASE WHEN o_orderkey % 6 < 2 THEN 12 END AS age_max, (o_orderkey % 7 = 0) AS is_indoor, CASE WHEN o_orderkey % 4 > 1 THEN o_orderkey % 5 = 0 END AS is_outdoor, CASE WHEN o_orderkey % 8 = 0 THEN 'limited' END AS availability_status, CASE WHEN o_orderkey % 3 = 1 THEN concat('https://b/', o_orderkey) END AS booking_url,
+        (o_orderkey % 5 <> 4) AS has_ai, CAST(o_orderkey % 11 AS DOUBLE) / 10 AS dt_conf, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL '1' DAY END AS ai_start, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL '2' DAY END AS ai_end,
+        CAST(o_orderkey % 13 AS DOUBLE) / 12 AS loc_conf, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 7 > 2 THEN CASE o_orderkey % 4 WHEN 0 THEN concat('Allee ', o_orderkey) WHEN 1 THEN 'siehe  Beschreibung' WHEN 2 THEN 'Durlach' ELSE ' ' END END AS ai_address, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 3 = 1 THEN 'Durlach' END AS ai_district,
+        CASE WHEN o_orderkey % 6 <> 5 THEN CAST(o_orderkey % 9 AS DOUBLE) / 8 END AS venue_conf, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 4 < 3 THEN concat('Saal ', o_orderkey % 9) END AS ai_venue, CASE WHEN o_orderkey % 3 = 2 THEN concat('Ring ', o_orderkey) END AS ai_line, CASE WHEN o_orderkey % 2 = 1 THEN 'Ettlingen' END AS ai_city, CASE WHEN o_orderkey % 2 = 1 THEN '76275' END AS ai_postal,
+        CAST(o_orderkey % 7 AS DOUBLE) / 6 AS price_conf, CASE WHEN o_orderkey % 5 <> 4 THEN CASE o_orderkey % 8 WHEN 0 THEN 'free' WHEN 1 THEN 'donation' WHEN 2 THEN 'Paid' WHEN 3 THEN 'range' END END AS ai_price_type, CASE WHEN o_orderkey % 3 = 0 THEN CAST(7 AS DOUBLE) END AS ai_price_min, CASE WHEN o_orderkey % 6 = 0 THEN CAST(9 AS DOUBLE) END AS ai_price_max,
+        (o_orderkey % 5 <> 4 AND o_orderkey % 10 = 3) AS ai_cancelled, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 4 = 3 THEN 5 END AS ai_age_min, CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 4 = 1 THEN 11 END AS ai_age_max, CASE WHEN o_orderkey % 5 <> 4 THEN o_orderkey % 3 = 1 END AS ai_indoor,
+        CASE WHEN o_orderkey % 5 <> 4 AND o_orderkey % 6 <> 0 THEN o_orderkey * 7 % 101 END AS fit, CAST(o_orderkey % 21 AS DOUBLE) / 20 AS confidence, CASE WHEN o_orderkey % 5 <> 4 THEN CASE WHEN o_orderkey % 12 = 0 THEN 'fallback' ELSE 'm1' END END AS model, CAST(o_orderkey % 4 AS DOUBLE) / 3 AS contact_conf, CASE o_orderkey % 3 WHEN 0 THEN concat(' x', o_orderkey, '@y.de ') WHEN 1 THEN ' ' END AS ai_email, o_orderkey % 9 AS source_id FROM orders""",
     "when_text": """SELECT doc_id AS id, concat(substr(text, 1, 60), ' ', CASE doc_id % 20 WHEN 0 THEN '14. Februar 2026, 19 Uhr' WHEN 1 THEN '5. März 2026, 19:30 Uhr' WHEN 2 THEN '20. März 2026, 10 bis 14 Uhr' WHEN 3 THEN '15. April 2026, 19:00–21:30 Uhr' WHEN 4 THEN '30. Mai 2026, 22 bis 2 Uhr'
         WHEN 5 THEN '25. Dezember 2026' WHEN 6 THEN 'Beginn: 10. Januar 2026, 19.30 Uhr' WHEN 7 THEN 'am 07.11.2027 um 18 Uhr' WHEN 8 THEN '31. Juni 2026, 9 Uhr' WHEN 9 THEN '1. Mai 2019, 9 Uhr' WHEN 10 THEN concat('3. Juni 2026 ', repeat('x', 130), ' 19 Uhr') WHEN 11 THEN '4. Juli 2026, 25 bis 27 Uhr'
         WHEN 12 THEN 'Sa, 14. Feb. 2026, 10 Uhr' WHEN 13 THEN 'Sonntag, 2026-02-15 von 9 und 11 Uhr' WHEN 14 THEN 'Mo. 16.02.26 20:15' WHEN 15 THEN '17. Dez 27, 8 Uhr' WHEN 16 THEN '12.13.2026' WHEN 17 THEN '1.2.2026, 99:99 Uhr' WHEN 18 THEN 'ohne Datum, 19 Uhr' ELSE '24. August 2028, 7:05' END, ' ', substr(text, 61, 200)) AS text FROM documents""",
