@@ -9,6 +9,7 @@ from eventloom.catalog import register
 from eventloom.operators import ops, trends
 from eventloom.operators.search import ts
 from eventloom.plans.views import CATALOG_NOW, NOW, ctes, view
+from eventloom.session import table
 
 B = "bigint"
 
@@ -156,9 +157,11 @@ def child_counts(spark, d):
     return view(spark, d, "provider").select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("events"))
 
 
-@register("unconfirmed_counts", ctes("event_category") + "SELECT slug, count(*) FILTER (WHERE event_id % 3 <> 0) AS unconfirmed FROM event_category GROUP BY slug")
+@register("unconfirmed_counts", "SELECT lower(p_type) AS slug, count(*) FILTER (WHERE l_linestatus = 'O') AS unconfirmed FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
 def unconfirmed_counts(spark, d):
-    return view(spark, d, "event_category").groupBy("slug").agg(F.count_if(F.col("event_id") % 3 != 0).alias("unconfirmed"))
+    """How many of each kind's entries nobody has confirmed yet (line status O), kinds without entries included."""
+    p, l = table(spark, d, "part"), table(spark, d, "lineitem").select("l_partkey", "l_linestatus")
+    return p.join(l, p.p_partkey == l.l_partkey, "left").groupBy(F.lower("p_type").alias("slug")).agg(F.count_if(F.col("l_linestatus") == "O").alias("unconfirmed"))
 
 
 JOB_STATES = ["queued", "running", "completed", "failed", "dead"]

@@ -9,7 +9,7 @@ from eventloom.functions import fingerprint as fp
 from eventloom.operators import hierarchy, merge, resolve
 from eventloom.operators.search import ts
 from eventloom.plans.views import CATALOG_NOW, ctes, view
-from eventloom.session import ship_package
+from eventloom.session import ship_package, table
 
 NOW = CATALOG_NOW
 DAY = "strftime(start_datetime, '%Y-%m-%d')"
@@ -154,11 +154,13 @@ def counters(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("views"), F.count_if(F.col("event_type") == "purchase").alias("saves"))
 
 
-@register("config_merge", "SELECT 'title' AS field, 'h2' AS css UNION ALL SELECT 'date', '.d' UNION ALL SELECT 'place', '.p'")
+@register("config_merge", "SELECT s_suppkey AS id, f AS field, CASE f WHEN 'title' THEN coalesce(CASE WHEN s_suppkey % 2 = 0 THEN concat('h', s_suppkey % 4) END, CASE WHEN s_suppkey % 5 <> 0 THEN 'h1' END) WHEN 'date' THEN CASE WHEN s_suppkey % 5 <> 0 THEN '.d' END ELSE CASE WHEN s_suppkey % 3 = 0 THEN '.p' END END AS css FROM supplier CROSS JOIN (VALUES ('title'), ('date'), ('place')) t(f) WHERE css IS NOT NULL")
 def config_merge(spark, d):
-    """A source's selectors laid over the defaults, field by field."""
-    m = spark.createDataFrame([({"title": "h1", "date": ".d"}, {"title": "h2", "place": ".p"})], "base map<string,string>, own map<string,string>")
-    return m.select(F.explode(F.map_zip_with("base", "own", lambda k, a, b: F.coalesce(b, a))).alias("field", "css"))
+    """Each source's selectors laid over the defaults, field by field; a source in mode 'replace' has no defaults."""
+    k = F.col("s_suppkey")
+    pick = lambda *pairs: F.map_filter(F.create_map(*[x for n, v in pairs for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    base, own = pick(("title", F.when(k % 5 != 0, "h1")), ("date", F.when(k % 5 != 0, ".d"))), pick(("title", F.when(k % 2 == 0, F.concat(F.lit("h"), k % 4))), ("place", F.when(k % 3 == 0, ".p")))
+    return table(spark, d, "supplier").select(k.alias("id"), F.explode(F.map_zip_with(base, own, lambda _, a, b: F.coalesce(b, a))).alias("field", "css"))
 
 
 TREE = "WITH RECURSIVE category_tree AS ({}), walk AS (SELECT id, CAST(0 AS BIGINT) AS depth, name AS path FROM category_tree WHERE parent_id IS NULL UNION ALL SELECT c.id, w.depth + 1, w.path || ' > ' || c.name FROM category_tree c JOIN walk w ON c.parent_id = w.id) "
@@ -180,6 +182,26 @@ def subtree_search(spark, d):
     return hierarchy.search(view(spark, d, "category_tree"), "supplier#00000000")
 
 
-@register("cycle_check", "SELECT 'a' AS id UNION ALL SELECT 'b' UNION ALL SELECT 'c'")
+LINKED = "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 6 <> 5 THEN CAST((n_nationkey * 7 + 3) % 25 AS BIGINT) END AS parent_id FROM nation"
+
+
+@register("cycle_check", f"WITH RECURSIVE linked AS ({LINKED}), up AS (SELECT id, parent_id AS a, 1 AS n FROM linked WHERE parent_id IS NOT NULL UNION ALL SELECT u.id, l.parent_id, n + 1 FROM up u JOIN linked l ON l.id = u.a WHERE l.parent_id IS NOT NULL AND n < 30) SELECT DISTINCT id FROM up WHERE id = a")
 def cycle_check(spark, d):
-    return hierarchy.on_cycle(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", None)], "id string, parent_id string"))
+    """Nations linked by a rule that makes cycles: those that are their own ancestors."""
+    return hierarchy.on_cycle(spark.sql(LINKED.replace("FROM nation", "FROM {nation}"), nation=table(spark, d, "nation")))
+
+
+NEW_ORDER = "new_order AS (SELECT id, parent_id, (sort_order * 7) % 11 AS sort_order FROM category_tree WHERE sort_order % 2 = 1)"
+
+
+@register("category_reorder", ctes("category_tree", more=NEW_ORDER) + "SELECT c.id, coalesce(n.sort_order, c.sort_order) AS sort_order, row_number() OVER (PARTITION BY c.parent_id ORDER BY coalesce(n.sort_order, c.sort_order), c.id) AS place FROM category_tree c LEFT JOIN new_order n ON n.id = c.id")
+def category_reorder(spark, d):
+    """A batch of new positions; places are counted among the children of a parent. A batch that makes a cycle is refused."""
+    from pyspark.sql import Window
+
+    c = view(spark, d, "category_tree")
+    moved = c.where("sort_order % 2 = 1").select("id", (F.col("sort_order") * 7 % 11).alias("new"))
+    if not hierarchy.on_cycle(c.select("id", "parent_id")).isEmpty():
+        raise ValueError("the batch makes a cycle")
+    x = c.join(moved, "id", "left").withColumn("sort_order", F.coalesce("new", "sort_order"))
+    return x.select("id", "sort_order", F.row_number().over(Window.partitionBy("parent_id").orderBy("sort_order", "id")).alias("place"))

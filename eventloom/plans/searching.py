@@ -37,13 +37,18 @@ simple("list_filters", ("ingest_run",), "SELECT id, correlation_id FROM ingest_r
 simple("log_filters", ("usage_log",), "SELECT id FROM usage_log WHERE model = 'model-error' AND operation = 'op1' AND error_code IS NOT NULL", lambda u: u.where((F.col("model") == "model-error") & (F.col("operation") == "op1") & F.col("error_code").isNotNull()).select("id"))
 
 
-@register("override_window", "SELECT term FROM (VALUES ('a', true, TIMESTAMP '2024-01-01', NULL, 'karlsruhe'), ('b', true, NULL, TIMESTAMP '2024-01-02', NULL), ('c', false, NULL, NULL, NULL), ('d', true, NULL, NULL, 'berlin'), ('e', true, NULL, NULL, NULL)) AS o(term, is_active, starts_at, ends_at, city) WHERE is_active AND (starts_at IS NULL OR starts_at <= TIMESTAMP '2024-01-31') AND (ends_at IS NULL OR ends_at >= TIMESTAMP '2024-01-31') AND (city IS NULL OR city = 'karlsruhe')")
+OVERRIDES = "overrides AS (SELECT p_partkey AS id, p_name AS term, (p_partkey % 4 <> 0) AS is_active, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2024-01-15' + to_days(CAST(p_partkey % 40 AS INT)) END AS starts_at, CASE WHEN p_partkey % 5 < 2 THEN TIMESTAMP '2024-01-15' + to_days(CAST(p_partkey % 33 AS INT)) END AS ends_at, CASE p_partkey % 3 WHEN 0 THEN 'karlsruhe' WHEN 1 THEN 'berlin' END AS city FROM part)"
+
+
+@register("override_window", f"WITH {OVERRIDES} SELECT id, term FROM overrides WHERE is_active AND (starts_at IS NULL OR starts_at <= TIMESTAMP '2024-01-31') AND (ends_at IS NULL OR ends_at >= TIMESTAMP '2024-01-31') AND (city IS NULL OR city = 'karlsruhe')")
 def override_window(spark, d):
     from eventloom.operators.trends import active
+    from eventloom.session import table
 
-    rows = [("a", True, "2024-01-01 00:00:00", None, "karlsruhe"), ("b", True, None, "2024-01-02 00:00:00", None), ("c", False, None, None, None), ("d", True, None, None, "berlin"), ("e", True, None, None, None)]
-    o = spark.createDataFrame(rows, "term string, is_active boolean, s string, e string, city string").select("term", "is_active", F.col("s").cast("timestamp_ntz").alias("starts_at"), F.col("e").cast("timestamp_ntz").alias("ends_at"), "city")
-    return o.where(active("2024-01-31 00:00:00", "karlsruhe")).select("term")
+    k, day = F.col("p_partkey"), F.lit("2024-01-15").cast("timestamp_ntz")
+    after = lambda n: day + F.make_dt_interval((k % n).cast("int"))
+    o = table(spark, d, "part").select(k.alias("id"), F.col("p_name").alias("term"), (k % 4 != 0).alias("is_active"), F.when(k % 3 == 0, after(40)).alias("starts_at"), F.when(k % 5 < 2, after(33)).alias("ends_at"), F.when(k % 3 == 0, "karlsruhe").when(k % 3 == 1, "berlin").alias("city"))
+    return o.where(active("2024-01-31 00:00:00", "karlsruhe")).select("id", "term")
 
 
 @register("events_with_relations", ctes("catalog", "scores", "provider", "event_category") + "SELECT c.id, s.family_fit, p.name AS provider, coalesce(k.slugs, '') AS slugs, t.title AS moved_to FROM catalog c LEFT JOIN scores s ON s.event_id = c.id LEFT JOIN provider p ON p.id = c.provider_id LEFT JOIN (SELECT event_id, string_agg(slug, ',' ORDER BY slug) AS slugs FROM event_category GROUP BY event_id) k ON k.event_id = c.id LEFT JOIN catalog t ON t.id = c.rescheduled_to")
@@ -55,11 +60,11 @@ def events_with_relations(spark, d):
     return out.select(c["id"], "family_fit", "provider", F.coalesce("slugs", F.lit("")).alias("slugs"), "moved_to")
 
 
-@register("dup_pairs", ctes("catalog") + "SELECT a.id AS a, b.id AS b, a.title AS a_title, b.title AS b_title FROM catalog a JOIN catalog b ON b.id = a.id + 500 WHERE a.id % 100 = 7 OR b.id % 100 = 8")
+@register("dup_pairs", ctes("catalog") + "SELECT a.id AS a, b.id AS b, a.title AS a_title, b.title AS b_title FROM catalog a JOIN catalog b ON b.id = a.id + 500")
 def dup_pairs(spark, d):
     c = view(spark, d, "catalog")
     a, b = c.select(F.col("id").alias("a"), F.col("title").alias("a_title")), c.select(F.col("id").alias("b"), F.col("title").alias("b_title"))
-    return a.join(b, F.col("b") == F.col("a") + 500).where("a % 100 = 7 or b % 100 = 8")
+    return a.join(b, F.col("b") == F.col("a") + 500)
 
 
 @register("similar_events", ctes("catalog", "event_category") + f"""SELECT id, other, rank FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY start_datetime, other) AS rank FROM (SELECT DISTINCT a.event_id AS id, b.id AS other, b.start_datetime FROM event_category a JOIN event_category k ON a.slug = k.slug JOIN catalog b ON b.id = k.event_id JOIN catalog o ON o.id = a.event_id
@@ -209,6 +214,24 @@ def district_alias(spark, d):
     return view(spark, d, "catalog").join(names, "district", "left").select("id", F.coalesce("name", "district").alias("district"))
 
 
-@register("weather_class", ctes("job") + "SELECT id, CASE WHEN processed < 30 THEN 'clear' WHEN processed < 60 THEN 'cloudy' ELSE 'rain' END AS weather, (heartbeat_s % 100 < 50 AND processed > 5) AS outdoor FROM job")
+#: Weather by code, and what is too wet for outdoor events.
+WEATHER = {
+    0: "clear", 1: "mostly_clear", 2: "partly_cloudy", 3: "overcast", 45: "fog", 48: "fog", 51: "drizzle", 53: "drizzle", 55: "drizzle", 61: "rain", 63: "rain", 65: "rain", 66: "freezing_rain", 67: "freezing_rain",
+    71: "snow", 73: "snow", 75: "snow", 77: "snow", 80: "showers", 81: "showers", 82: "showers", 85: "snow_showers", 86: "snow_showers", 95: "thunderstorm", 96: "thunderstorm", 99: "thunderstorm",
+}
+BAD_WEATHER = ["rain", "showers", "snow", "snow_showers", "thunderstorm", "freezing_rain"]
+ADVICE = ["Perfektes Wetter für Outdoor-Aktivitäten!", "Bewölkt, aber trocken - Outdoor möglich", "Indoor-Aktivitäten empfohlen", "Wetterabhängig - Plan B bereithalten"]
+FORECASTS = "forecasts AS (SELECT o_orderkey AS id, o_orderkey % 101 AS code, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey * 7 % 101 AS INT) END AS rain, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 3 % 40 - 8 AS INT) END AS warm FROM orders)"
+
+
+@register("weather_class", f"WITH {FORECASTS} SELECT id, w AS weather, (w NOT IN ({', '.join(map(repr, BAD_WEATHER))}) AND coalesce(rain, 0) < 50 AND coalesce(warm, 20) > 5) AS outdoor, CASE WHEN w IN ('clear', 'mostly_clear', 'partly_cloudy') THEN '{ADVICE[0]}' WHEN w = 'overcast' THEN '{ADVICE[1]}' WHEN w IN ({', '.join(map(repr, BAD_WEATHER))}) THEN '{ADVICE[2]}' ELSE '{ADVICE[3]}' END AS advice FROM (SELECT *, CASE code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in WEATHER.items()) + " ELSE 'unknown' END AS w FROM forecasts)")
 def weather_class(spark, d):
-    return view(spark, d, "job").select("id", F.when(F.col("processed") < 30, "clear").when(F.col("processed") < 60, "cloudy").otherwise("rain").alias("weather"), ((F.col("heartbeat_s") % 100 < 50) & (F.col("processed") > 5)).alias("outdoor"))
+    from eventloom.session import table
+
+    k = F.col("o_orderkey")
+    f = table(spark, d, "orders").select(k.alias("id"), (k % 101).cast("int").alias("code"), F.when(k % 9 != 0, (k * 7 % 101).cast("int")).alias("rain"), F.when(k % 11 != 0, (k * 3 % 40 - 8).cast("int")).alias("warm"))
+    names = F.create_map(*[F.lit(v) for pair in WEATHER.items() for v in pair])
+    w, bad = F.col("weather"), F.col("weather").isin(BAD_WEATHER)
+    x = f.withColumn("weather", F.coalesce(F.try_element_at(names, F.col("code")), F.lit("unknown")))
+    advice = F.when(w.isin("clear", "mostly_clear", "partly_cloudy"), ADVICE[0]).when(w == "overcast", ADVICE[1]).when(bad, ADVICE[2]).otherwise(ADVICE[3])
+    return x.select("id", "weather", (~bad & (F.coalesce("rain", F.lit(0)) < 50) & (F.coalesce("warm", F.lit(20)) > 5)).alias("outdoor"), advice.alias("advice"))

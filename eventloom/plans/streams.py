@@ -14,12 +14,13 @@ def stream(spark, d, name):
     return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-@register("stream_trends", f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, concat(lower(trim(event_type)), ':', CAST(floor({K} / 25) AS INT)) AS term, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2")
+@register("stream_trends", f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, concat(lower(trim(event_type)), ':', CAST(floor({K} / 25) AS INT)) AS term, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_trends(spark, d):
-    """Daily counts of terms by a watermarked window. Days that the watermark has passed come out; the last ones are open."""
+    """Daily counts of terms by a watermarked window, in update mode: the newest row of a window is its count, open or not."""
     e = stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lower(F.trim("event_type")), F.lit(":"), F.floor(F.expr(K) / 25).cast("int").cast("string")).alias("term"))
-    out = jobs.run_to_table(jobs.term_counts(e, "6 hours", "1 day", "1 day"), "trends")
-    return out.where(F.col("start") < F.lit("2024-01-29").cast("timestamp")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "term", "n")
+    out = jobs.run_to_table(jobs.term_counts(e, "6 hours", "1 day", "1 day"), "trends", "update", keep_epoch=True)
+    newest = out.groupBy("start", "term").agg(F.max_by("n", "epoch").alias("n"))
+    return newest.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "term", "n")
 
 
 @register("stream_dedup", f"SELECT count(DISTINCT concat(event_type, {K})) AS kept FROM events")
@@ -40,8 +41,43 @@ def stream_rate_limit(spark, d):
 
 @register("stream_health")
 def stream_health(spark, d):
-    """Moving means and failures of sources."""
+    """Moving means, failures and health of sources."""
     ship_package(spark)
     o = stream(spark, d, "orders")
-    runs = o.select((F.col("o_orderkey") % 10).alias("source_id"), F.col("o_orderkey").alias("id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("long").alias("started_ms"), (F.col("o_orderkey") % 50).alias("found"), (F.col("o_orderstatus") == "O").alias("failed"))
+    status = F.when(F.col("o_orderstatus") == "O", "failed").when(F.col("o_orderstatus") == "F", "success").otherwise("partial")
+    runs = o.select((F.col("o_orderkey") % 10).alias("source_id"), F.col("o_orderkey").alias("id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("long").alias("started_ms"), (F.col("o_orderkey") % 50).alias("found"), status.alias("status"))
     return jobs.run_to_table(jobs.source_health(runs), "health", "update")
+
+
+@register("stream_lockout")
+def stream_lockout(spark, d):
+    """What becomes of logins when three failures in a row lock a user for two days."""
+    ship_package(spark)
+    e = stream(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms"), (F.expr(K) % 3 == 0).alias("ok"))
+    return jobs.run_to_table(jobs.lockouts(e, 3, 172_800_000), "lockouts")
+
+
+@register("stream_dead_letters", f"SELECT count(*) FILTER (WHERE {K} % 8 < 3) AS done, count(*) FILTER (WHERE {K} % 8 >= 3) AS dead, sum(CASE WHEN {K} % 8 < 3 THEN {K} % 8 + 1 ELSE 0 END) AS attempts FROM events")
+def stream_dead_letters(spark, d):
+    """Micro-batches whose rows get three tries; what never succeeds goes to the dead letters. A row here succeeds at the try
+    that its number names."""
+    from eventloom.session import fresh_path
+
+    done, dead, state = (fresh_path(spark, n) for n in ("done", "dead", "dead-state"))
+
+    def put(batch, epoch):
+        work = lambda k: F.struct((F.col("k") % 8 <= k).alias("ok"), F.col("k").alias("value"))
+        jobs.with_retries(batch, work, 3, f"{dead}/epoch={epoch}").write.mode("overwrite").parquet(f"{done}/epoch={epoch}")
+
+    e = stream(spark, d, "events").select("event_id", F.expr(K).alias("k"))
+    e.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    good = spark.read.schema("event_id long, k int, value int, attempts int").option("recursiveFileLookup", "true").parquet(done)
+    bad = spark.read.schema("event_id long, k int, attempts int").option("recursiveFileLookup", "true").parquet(dead)
+    a, b = good.agg(F.count("*").alias("done"), F.sum("attempts").alias("attempts")), bad.agg(F.count("*").alias("dead"))
+    return a.select("done", b.scalar().alias("dead"), "attempts")
+
+
+@register("changed_since", f"SELECT event_id AS id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-29 12:00:00'")
+def changed_since(spark, d):
+    """Rows changed after the last poll's newest one."""
+    return table(spark, d, "events").where(F.col("ts") > F.lit("2024-01-29 12:00:00").cast("timestamp_ntz")).select(F.col("event_id").alias("id"), "event_type")

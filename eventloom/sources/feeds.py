@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import squeeze
 
 #: Paths of event pages in sitemaps.
-EVENT_PATHS = r"/(event|events|veranstaltung|veranstaltungen|termin|termine|kalender)(/|$|-)"
+EVENT_PATHS = "/event[s]?/|/veranstaltung(en)?/|/termine?/|/kalender/|/programm/|/aktivitaet(en)?/|/angebot(e)?/"
+
+
+#: Blocks that are not public.
+PRIVATE = [("127.0.0.0", 8), ("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16)]
 
 
 def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
@@ -25,7 +31,7 @@ def rss_items(feeds: DataFrame, body: str = "body") -> DataFrame:
 def ics_events(feeds: DataFrame, body: str = "body") -> DataFrame:
     """feeds' columns and (uid, summary, starts, ends, location) for every VEVENT; folded lines are joined, HTML gives none."""
     plain = F.regexp_replace(F.regexp_replace(F.col(body), "\r\n?", "\n"), "\n[ \t]", "")
-    blocks = feeds.where(~F.lower(F.ltrim(F.substring(body, 1, 200))).rlike("^<(!doctype|html)")).withColumn("__e", F.explode(F.regexp_extract_all(plain, F.lit("(?s)BEGIN:VEVENT\n(.*?)\nEND:VEVENT"), 1)))
+    blocks = feeds.where(~F.lower(F.regexp_replace(F.substring(body, 1, 200), r"^\s+", "")).rlike("^<(!doctype|html)")).withColumn("__e", F.explode(F.regexp_extract_all(plain, F.lit("(?s)BEGIN:VEVENT\n(.*?)\nEND:VEVENT"), 1)))
     field = lambda name: F.nullif(F.trim(F.regexp_extract("__e", rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1)), F.lit(""))
     text = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";")), F.lit("\\n"), F.lit("\n"))
 
@@ -43,6 +49,13 @@ def sitemap_urls(maps: DataFrame, body: str = "body", most: int = 200) -> DataFr
     return urls.where(F.lower(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))).rlike(EVENT_PATHS)).distinct().orderBy("url").limit(most)
 
 
+def listed_maps(index: DataFrame, maps: DataFrame, body: str = "body", address: str = "address") -> DataFrame:
+    """The maps that sitemap indexes list, and texts that are no index themselves. One level, as indexes must not list indexes."""
+    is_index = F.lower(body).contains("<sitemapindex")
+    named = index.where(is_index).select(F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)).alias(address)).distinct()
+    return maps.join(named, address, "left_semi").select(body).union(index.where(~is_index).select(body))
+
+
 def robots_sitemap(body: Column) -> Column:
     """The first sitemap that a robots file names."""
     return F.nullif(F.trim(F.regexp_extract(body, r"(?im)^\s*sitemap:(.*)$", 1)), F.lit(""))
@@ -50,7 +63,7 @@ def robots_sitemap(body: Column) -> Column:
 
 def sniff(content_type: Column, body: Column) -> Column:
     """rss, ics, html or unknown, by header and then by the first characters."""
-    head, start = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.ltrim(F.substring(body, 1, 500)))
+    head, start = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.regexp_replace(F.substring(body, 1, 500), r"^\s+", ""))
     return (
         F.when(head.contains("calendar"), "ics").when(head.rlike("rss|atom|xml"), "rss").when(start.startswith("begin:vcalendar"), "ics")
         .when(start.rlike(r"^(<\?xml|<rss|<feed)"), "rss").when(start.rlike(r"^(<!doctype html|<html)") | head.contains("html"), "html").otherwise("unknown")
@@ -66,10 +79,20 @@ def ical(title: Column, start: Column, end: Column, uid: Column, place: Column,
 
 
 def unsafe_url(url: Column) -> Column:
-    """Why a URL must not be fetched: not http, or a literal address in a private block; null if it may."""
-    host = F.try_parse_url(url, F.lit("HOST"))
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    octet = lambda k: F.get(F.split(host, r"\."), F.lit(k)).try_cast("int")
-    literal, a, b = host.rlike(r"^[0-9]+(\.[0-9]+){3}$"), octet(0), octet(1)
-    private = literal & ((a.isin(0, 10, 127)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | (a >= 224))
-    return F.when(scheme.isNull() | ~scheme.isin("http", "https"), "scheme").when(host.isNull(), "host").when((host == "localhost") | private, "address")
+    """Why a URL must not be fetched: not http, no host, or a literal address in a private block; null if it may. Numbers are
+    read as resolvers read them: one to four parts, decimal, octal or hexadecimal. Names are for the caller to resolve."""
+    scheme, rest = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(rest, r"^.*@", ""), r":[0-9]*$", ""))
+    six = F.regexp_extract(host, r"^\[([0-9a-f:.]+)(?:%.*)?\]$", 1)
+    mapped = F.regexp_extract(six, r"^::(?:ffff:)?([0-9]+\.[0-9.]+)$", 1)
+    literal = F.when(mapped != "", mapped).otherwise(host)
+    parts = F.split(literal, r"\.")
+    value = lambda p: F.when(p.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(p, 3, 16), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).when(p.rlike("^[0-9]+$"), p).try_cast("bigint")
+    numbers = F.transform(parts, value)
+    n = F.size(parts)
+    # the last part fills all the bytes that are left
+    four = F.when((n <= 4) & ~F.exists(numbers, lambda v: v.isNull()), F.aggregate(F.slice(numbers, 1, n - 1), F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(24).alias("s")), lambda acc, v: F.struct((acc["a"] + v * F.pow(F.lit(2), acc["s"]).cast("bigint")).alias("a"), (acc["s"] - 8).alias("s")), lambda acc: acc["a"]) + F.element_at(numbers, -1))
+    block = lambda text, bits: F.floor(four / 2 ** (32 - bits)) == int.from_bytes(bytes(map(int, text.split("."))), "big") >> (32 - bits)
+    private = functools.reduce(lambda a, b: a | b, [block(t, b) for t, b in PRIVATE])
+    six_private = (six == "::1") | six.rlike("^(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):")
+    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when((host == "localhost") | F.coalesce(private, F.lit(False)) | six_private, "address")
