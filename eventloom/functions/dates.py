@@ -76,13 +76,15 @@ def with_datetime(texts: DataFrame, column: str, extended: bool = False) -> Data
 
 def with_formats(texts: DataFrame, column: str, formats: list[str] | None = None) -> DataFrame:
     """texts with `parsed`: ISO 8601 first (a zone is cut off), then the configured formats in order."""
-    value = F.trim(column)
-    bare = F.when(value.contains("T"), F.regexp_replace(value, r"(?:Z|\+.*)$", "")).otherwise(value)
-    iso = F.when(bare.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)?$"), bare.try_cast("timestamp_ntz"))
+    chosen = {f"__{k}": FORMATS[name] for k, name in enumerate(formats or list(FORMATS))}
+    x = texts.withColumn("__v", F.trim(column))
+    bare = F.when(F.col("__v").contains("T"), F.regexp_replace("__v", r"(?:Z|\+.*)$", "")).otherwise(F.col("__v"))
+    number = lambda p, g: part(F.col("__v"), p, g).try_cast("int")
+    got = {k: F.struct(*[number(p, g).alias(n) for n, g in [*zip("ymd", days), *([("h", 4), ("n", 5)] if timed else [])]]) for k, (p, days, timed) in chosen.items()}
+    x = x.withColumns(got | {"__b": bare})
+    iso = F.when(F.col("__b").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)?$"), F.col("__b").try_cast("timestamp_ntz"))
     tried = [iso]
-    for name in formats or list(FORMATS):
-        pattern, (y, m, d), timed = FORMATS[name]
-        number = lambda g, p=pattern: part(value, p, g).try_cast("int")
-        year = F.when(number(y) < 100, number(y) + 2000).otherwise(number(y))
-        tried.append(_at(_day(year, number(m), number(d)), number(4) if timed else F.lit(0), number(5) if timed else F.lit(0)))
-    return texts.withColumn("parsed", F.coalesce(*tried))
+    for k, (_, _, timed) in chosen.items():
+        year = F.col(f"{k}.y") + F.when(F.col(f"{k}.y") < 100, 2000).otherwise(0)
+        tried.append(_at(_day(year, F.col(f"{k}.m"), F.col(f"{k}.d")), F.col(f"{k}.h") if timed else F.lit(0), F.col(f"{k}.n") if timed else F.lit(0)))
+    return x.select(*texts.columns, F.coalesce(*tried).alias("parsed"))

@@ -165,10 +165,60 @@ def visible_text(spark, d):
 
 @register("structured_events")
 def structured_events(spark, d):
-    """Events in pages, whose heads get a JSON-LD block made from the page."""
+    """Events that pages declare: a third has a JSON-LD block in front, a third microdata, a third what it came with."""
     from eventloom.sources.html import structured_events as read
 
     ship_package(spark)
-    block = F.concat(F.lit('<script type="application/ld+json">{"@type":"Event","name":"Page '), F.col("page_id").cast("string"), F.lit('","startDate":"2026-02-14T19:00","location":{"name":"Hall"},"offers":[{"price":12}]}</script>'))
-    pages = table(spark, d, "pages").select("page_id", F.concat(block, "html").alias("html"))
+    k = F.col("page_id").cast("string")
+    block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":["Event","Thing"],"name":"Page '), k, F.lit('","startDate":"2026-02-14T19:00","location":[{"name":"Hall"}],"offers":[{"price":12}]}]}</script>'))
+    micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/MusicEvent"><b itemprop="name">Micro '), k, F.lit('</b><time itemprop="startDate" datetime="2026-03-01">1. Maerz</time><span itemprop="location">Saal</span><meta itemprop="price" content="7"></div>'))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 3 == 0, block).when(F.col("page_id") % 3 == 1, micro).otherwise(""), "html").alias("html"))
     return pages.select("page_id", F.explode(read("html")).alias("e")).select("page_id", "e.*")
+
+
+VARIANTS = [
+    "<h1>Sommerfest im Park</h1><p>Am 14. Februar 2026, 19 bis 22 Uhr feiern wir ein Fest fuer alle Kinder.</p><p>Ort: Stadthalle Durlach</p>",
+    "<h1>Basteln</h1><dl><dt>Veranstaltungsort</dt><dd>Jugendhaus Mitte</dd></dl><p>5. M&auml;rz 2026, 15:30 Uhr, Hermannstra&szlig;e 12, 76137 Karlsruhe, kostenlos und ohne Anmeldung</p>",
+    '<meta property="og:image" content="https://img.de/a.png"><h1>Zirkus Nummer</h1><table><tr><th>Wo?</th><td>Zelt am Fluss</td></tr></table><div class="event-detail">Ein langer Text ueber den Zirkus, der ueber f&uuml;nfzig Zeichen hat.</div><div class="cookie-box">1. Mai 2026</div>',
+    '<nav>2. Mai 2026</nav><h1>Kurz</h1>',
+]
+_page = "concat('<html><body>', CASE page_id % 4 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(VARIANTS)) + " END, '</body></html>')"
+FOUND = {
+    0: {"title": "Sommerfest im Park", "start_datetime": "2026-02-14T19:00:00", "end_datetime": "2026-02-14T22:00:00", "location_name": "Stadthalle Durlach", "description": "Am 14. Februar 2026, 19 bis 22 Uhr feiern wir ein Fest fuer alle Kinder.' || chr(10) || 'Ort: Stadthalle Durlach"},
+    1: {"title": "Basteln", "start_datetime": "2026-03-05T15:30:00", "location_address": "Hermannstraße 12, 76137 Karlsruhe", "location_name": "Jugendhaus Mitte", "description": "5. März 2026, 15:30 Uhr, Hermannstraße 12, 76137 Karlsruhe, kostenlos und ohne Anmeldung"},
+    2: {"title": "Zirkus Nummer", "image": "https://img.de/a.png", "location_name": "Zelt am Fluss", "description": "Ein langer Text ueber den Zirkus, der ueber fünfzig Zeichen hat."},
+}
+
+
+def _variants(spark, d):
+    return spark.sql(f"SELECT page_id, {_page} AS html FROM {{pages}}", pages=table(spark, d, "pages"))
+
+
+@register("heuristic_fields", "WITH f(k, field, value) AS (VALUES " + ", ".join(f"({k}, '{n}', '{v}')" for k, fs in FOUND.items() for n, v in fs.items()) + "), c(field, confidence) AS (VALUES ('title', 0.70), ('start_datetime', 0.70), ('end_datetime', 0.65), ('location_address', 0.75), ('location_name', 0.65), ('image', 0.70), ('description', 0.60)) SELECT page_id, f.field, value, CAST(confidence AS DOUBLE) AS confidence FROM pages JOIN f ON f.k = page_id % 4 JOIN c ON c.field = f.field")
+def heuristic_fields(spark, d):
+    """Title, dates, address, place, image and description of pages by heuristics, each with its confidence."""
+    from eventloom.sources import dom
+
+    return dom.heuristics(_variants(spark, d), "page_id")
+
+
+@register("selector_fields", "WITH f(k, field, value, css) AS (VALUES " + ", ".join(f"({k}, 'title', '{FOUND[k]['title']}', 'h1')" for k in FOUND) + ", (3, 'title', 'Kurz', 'h1'), (1, 'place', 'Jugendhaus Mitte', 'dl dd'), (2, 'place', 'Zelt am Fluss', 'tr td'), (2, 'image', 'https://img.de/a.png', 'meta[property=\"og:image\"]'), (3, 'start_datetime', '2026-05-02T00:00:00', 'nav')) SELECT page_id, field, value, CAST(0.95 AS DOUBLE) AS confidence, concat('css:', css) AS evidence FROM pages JOIN f ON f.k = page_id % 4")
+def selector_fields(spark, d):
+    """Fields by configured selectors, with fallbacks; a date that can't be read is missing."""
+    from eventloom.sources import dom
+
+    fields = {"title": ([".headline", "h1"], "text"), "place": (["dl dd", "tr td"], "text"), "image": (['meta[property="og:image"]'], "content"), "start_datetime": (["nav", "h1"], "text")}
+    pages = _variants(spark, d).withColumn("html", F.replace("html", F.lit("2. Mai 2026"), F.lit("2.5.2026")))
+    return dom.from_selectors(pages, "page_id", fields, base="https://x.de/")
+
+
+_list = "concat('<ul>', repeat(concat('<li class=\"event big\"><h3>Fest ', page_id, '</h3><time datetime=\"2026-05-01\">bald</time><p>Text</p><a href=\"/e/', page_id, '\">mehr</a><img data-src=\"b.png\"><span class=\"venue\">Haus</span></li><li class=\"event\"><b>ohne Titel</b></li>'), CAST(page_id % 3 AS INT)), '</ul>')"
+
+
+@register("list_scrape", "SELECT page_id, concat('Fest ', page_id) AS title, '2026-05-01' AS date, 'Text' AS description, concat('https://x.de/e/', page_id) AS link, 'https://x.de/liste/b.png' AS image, 'Haus' AS location_name, CAST(NULL AS VARCHAR) AS location_address FROM pages, range(0, 2) r(i) WHERE i < page_id % 3")
+def list_scrape(spark, d):
+    """The rows of event lists in pages; elements without a title are left out."""
+    from eventloom.sources import dom
+
+    pages = spark.sql(f"SELECT page_id, {_list} AS html FROM {{pages}}", pages=table(spark, d, "pages"))
+    return dom.event_lists(pages, "page_id", "https://x.de/liste/")

@@ -14,9 +14,11 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from eventloom.session import ship_package  # noqa: F401  callers ship the package first
 
 #: Elements without text for readers, attribute words of consent boxes, event types.
-NOISY = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe", "form", "svg"}
-BOXES = re.compile("cookie|consent|banner|popup|newsletter|sidebar|breadcrumb", re.I)
+NOISY = {"script", "style", "nav", "footer", "aside", "noscript", "iframe", "svg", "form"}
+BOXES = re.compile("cookie|consent|banner|popup|modal|gdpr", re.I)
 EVENT_TYPES = {"Event", "MusicEvent", "TheaterEvent", "SportsEvent", "ChildrensEvent", "Festival", "ExhibitionEvent", "EducationEvent", "SocialEvent"}
+#: Fixed value: how much text of a page a language model gets.
+MOST_TEXT = 12_000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -43,7 +45,7 @@ class _Node(HTMLParser):
                 self.prop = a["itemprop"]
         if tag in VOID:
             return
-        hide = tag in NOISY or bool(BOXES.search(f"{a.get('class') or ''} {a.get('id') or ''}"))
+        hide = tag in NOISY or bool(BOXES.search(a.get("class") or "")) or bool(BOXES.search(a.get("id") or ""))
         self.stack.append((tag, hide))
         self.hidden += hide
 
@@ -99,8 +101,8 @@ _EVENT = ArrayType(StructType([StructField(n, StringType()) for n in ("title", "
 
 @F.pandas_udf(StringType())
 def visible_text(html: pd.Series) -> pd.Series:
-    """What a reader sees: line by line, without noisy elements and consent boxes."""
-    return html.map(lambda h: re.sub(r"\n{3,}", "\n\n", "\n".join(_parse(h).lines)))
+    """What a reader sees: line by line, without noisy elements and consent boxes, MOST_TEXT characters at most."""
+    return html.map(lambda h: re.sub(r"\n{3,}", "\n\n", "\n".join(_parse(h).lines))[:MOST_TEXT])
 
 
 @F.pandas_udf(_EVENT)
