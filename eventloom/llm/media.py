@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.chunking import cuts
-from eventloom.llm.common import ROW, in_map, membership, slices, utf8, with_rows
+from eventloom.llm.common import ROW, in_map, lean, lean_group, membership, slices, utf8, with_rows
 from eventloom.session import staged
 
 RATE, BITS, LEAST, MOST = 8000, 11, 256, 16384
@@ -81,7 +81,7 @@ def _recipes(rows: DataFrame) -> DataFrame:
                     ["id", "n_bytes", "recipe", "digests"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, recipe binary, digests array<binary>")
+    return rows.mapInArrow(lean(run), f"id {kind}, n_bytes long, recipe binary, digests array<binary>")
 
 
 def _inline(texts: DataFrame, repeated) -> DataFrame:
@@ -101,7 +101,7 @@ def _inline(texts: DataFrame, repeated) -> DataFrame:
                 kinds = (pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["recipe", "total", "seqs", "chunks"])
 
-    return texts.mapInArrow(run, "recipe binary, total int, seqs array<int>, chunks array<binary>")
+    return texts.mapInArrow(lean(run), "recipe binary, total int, seqs array<int>, chunks array<binary>")
 
 
 def _shared(texts: DataFrame, repeated) -> DataFrame:
@@ -123,7 +123,7 @@ def _shared(texts: DataFrame, repeated) -> DataFrame:
                 seen |= found.keys()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "chunk"])
 
-    return texts.mapInArrow(run, "digest binary, chunk binary")
+    return texts.mapInArrow(lean(run), "digest binary, chunk binary")
 
 
 _VALUES = "recipe binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -167,12 +167,12 @@ def read(manifest: DataFrame, inline: DataFrame, shared: DataFrame) -> DataFrame
         recipe = group.column("recipe")[0].as_py()
         return pa.Table.from_batches([_values([recipe], [b"".join(chunks[i] for i in range(len(chunks)))])])
 
-    alone = inline.where("size(seqs) = total").mapInArrow(whole, _VALUES)
+    alone = inline.where("size(seqs) = total").mapInArrow(lean(whole), _VALUES)
     lists = manifest.groupBy("recipe").agg(F.first("digests").alias("digests")).select("recipe", F.posexplode("digests").alias("seq", "digest"))
     pieces = lists.join(shared, "digest").select("recipe", "seq", "chunk").union(
         inline.where("size(seqs) < total").select("recipe", F.explode(F.arrays_zip("seqs", "chunks")).alias("z")).select("recipe", "z.seqs", "z.chunks")
     )
-    return alone.union(pieces.groupBy("recipe").applyInArrow(assemble, _VALUES))
+    return alone.union(pieces.groupBy("recipe").applyInArrow(lean_group(assemble), _VALUES))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, list_of, slices, utf8, with_rows, words
+from eventloom.llm.common import ROW, lean, list_of, slices, utf8, with_rows, words
 from eventloom.session import staged
 
 COSINES, WIDTH, RIDGE, BINS, SEED = 192, 4.0, 1.0, 2000, 1234
@@ -134,16 +134,16 @@ def _measure(rows: DataFrame) -> DataFrame:
             x = statistics(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_of(x.ravel(), np.full(len(x), STATISTICS), pa.float64())], ["id", "x"])
 
-    return rows.mapInArrow(run, f"id {kind}, x array<double>")
+    return rows.mapInArrow(lean(run), f"id {kind}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, STATISTICS)
 
 
-def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
+def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
     """Fit on the labelled rows of measured (id, x) whose fold isn't 2: folds 0 and 1 for ridge, 3 for calibration."""
-    truth = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(label_col).cast("double").alias("y"))
+    truth = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(f"`{label_col}`").cast("double").alias("y"))
     known = staged(measured.where(fold("id") != 2).join(truth, "id").select("x", "y", fold("id").cast("int").alias("fold")), "labelled")
     moments = known.select(
         F.count("*").alias("n"),
@@ -171,8 +171,13 @@ def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality") -> M
                 total += np.frombuffer(part.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    sums = known.where("fold <> 3").mapInArrow(normal_equations, "part binary").repartition(8).mapInArrow(add, "part binary")
-    total = sum(np.frombuffer(r["part"]) for r in sums.collect()).reshape(size, size + 1)
+    # sums of sums, 64 at a time, each level staged: no task adds up more than that however many partitions there are
+    sums = staged(known.where("fold <> 3").mapInArrow(lean(normal_equations), "part binary"), "equations")
+    n = sums.count()
+    while n > 64:
+        n = -(-n // 64)
+        sums = staged(sums.repartition(n).mapInArrow(lean(add), "part binary"), "equations")
+    total = sum((np.frombuffer(r["part"]) for r in sums.toLocalIterator()), np.zeros(size * (size + 1))).reshape(size, size + 1)
     model.weights = np.linalg.solve(total[:, :size] + RIDGE * np.eye(size), total[:, size])
 
     def binned(batches):
@@ -193,21 +198,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id, held_out, score, predicted) for every row."""
     rows = with_rows(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"}).drop(ROW)
     measured = staged(_measure(rows), "statistics")
-    model = fit(measured, labels)
+    model = fit(measured, labels, id_col=id_col)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(_matrix(batch.column("x"))), pa.float64())], ["id", "score"])
 
-    out = measured.mapInArrow(run, f"id {kind}, score double")
+    out = measured.mapInArrow(lean(run), f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(fold("id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that the classifier does not reject."""
     rows = with_rows(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"}).drop(ROW)
-    model = fit(_measure(rows), labels)
+    model = fit(_measure(rows), labels, id_col=id_col)
 
     def run(batches):
         for batch in batches:
@@ -215,4 +220,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, split_rows, with_rows
+from eventloom.llm.common import ROW, lean, split_rows, with_rows
 from eventloom.session import fresh_path, staged
 
 LEAST, FILE_BYTES, PIECE = 100, 128 << 20, 1 << 20
@@ -78,7 +78,7 @@ def _write(rows: DataFrame, folder: str) -> DataFrame:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], ["name"])
 
-    return rows.mapInArrow(run, "name string")
+    return rows.mapInArrow(lean(run), "name string")
 
 
 def _inflate(stream):
@@ -140,7 +140,7 @@ def normalise(files: DataFrame, folder: str, out: str) -> DataFrame:
                     sink.write("".join(f"{a} {n}\n" for a, n in index).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([final] * len(index)), pa.array([a for a, _ in index], pa.int64()), pa.array([n for _, n in index], pa.int64())], ["file", "offset", "length"])
 
-    return files.mapInArrow(run, "file string, offset long, length long")
+    return files.mapInArrow(lean(run), "file string, offset long, length long")
 
 
 def read(index: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
@@ -171,14 +171,15 @@ def read(index: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
         if stream:
             stream.close()
 
-    out = index.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    out = index.mapInArrow(lean(run), "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
     return out.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, str]:
     """Write pages as archives and normalise them: (index, folder of the normalised archives)."""
     spark = pages.sparkSession
-    rows = with_rows(pages, id_col, url_col, html_col).withColumnsRenamed({id_col: "id", url_col: "url", html_col: "html"})
+    # staged, as rows are read twice and joined by their ids
+    rows = staged(with_rows(pages, id_col, url_col, html_col).withColumnsRenamed({id_col: "id", url_col: "url", html_col: "html"}), "pages")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = rows.withColumns({"digest": F.sha2(payload, 256), "size": F.octet_length(payload).cast("long")})
     thin = staged(rows.where(F.col("size") >= LEAST).select("id", ROW, "digest"), "payloads")
