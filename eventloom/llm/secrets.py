@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, split_rows, with_rows
-from eventloom.session import staged
+from eventloom.llm.common import ROW, lean, split_rows, spread_join, with_rows
+from eventloom.session import ship_package, staged
 
 #: The kinds in order, the patterns of the contract.
 KINDS = ("assign", "access", "hex", "secret", "identifier", "endpoint")
@@ -54,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, bool]]:
     """(role, start, end, weak) of what may belong together; none unless the text has some identifier."""
     ids = [("identifier", s, e, False) for s, k, e in base if k == 1]
-    if "id" in (low := text.lower()) or "key" in low:
+    if "id" in (low := text.lower()) or "key" in low:  # every name in NAMED_ID ends with one of them
         ids += [("identifier", m.start(1), m.end(1), True) for m in NAMED_ID.finditer(text)]
     if not ids:
         return []
@@ -97,17 +97,17 @@ def _scan(rows: DataFrame) -> DataFrame:
             )
 
     schema = f"id {kind}, {ROW} long, base array<struct<start:int,kind:int,end:int>>, parts array<struct<role:string,start:int,end:int,weak:boolean>>, base_sha256 string"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
-def link(found: DataFrame) -> DataFrame:
+def link(found: DataFrame, row: str = ROW) -> DataFrame:
     """(row, start, kind, end) of the weak parts whose complement is in reach: an interval join on (row, bucket).
 
     A weak part goes to the buckets that its widened interval touches, every part to those that it covers itself, whatever
     its length; pairs that meet in several buckets are one in the flags. Text length bounds how many buckets there are, so
     the rows grow with the text only.
     """
-    p = found.select(ROW, F.explode("parts").alias("p")).select(ROW, "p.*")
+    p = found.select(F.col(row).alias(ROW), F.explode("parts").alias("p")).select(ROW, "p.*")
     wide = p.where("weak").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - REACH) / REACH), F.floor((F.col("end") + REACH) / REACH))))
     near = p.select(F.col(ROW).alias("r"), F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / REACH), F.floor(F.col("end") / REACH))).alias("b"))
     met = wide.join(near, (F.col(ROW) == F.col("r")) & (F.col("bucket") == F.col("b")) & (F.col("s") <= F.col("end") + REACH) & (F.col("e") >= F.col("start") - REACH) & (F.col("other") != F.col("role")))
@@ -118,10 +118,10 @@ def link(found: DataFrame) -> DataFrame:
     return kept.select(ROW, "start", kinds[F.col("role")].alias("kind"), "end")
 
 
-def _spans(found: DataFrame) -> DataFrame:
-    """found with all spans, sorted."""
-    added = link(found).groupBy(F.col(ROW).alias("r")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    both = found.join(added, found[ROW] == added["r"], "left").drop("r")
+def _spans(found: DataFrame, row: str = ROW) -> DataFrame:
+    """found with all spans, sorted; `row` names each of its rows."""
+    added = link(found, row).groupBy(F.col(ROW).alias("r")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    both = found.join(added, found[row] == added["r"], "left").drop("r")
     return both.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))))
 
 
@@ -141,19 +141,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with every reported span replaced by [SECRET]; all rows and columns stay, the length column follows.
 
-    Only rows that may have spans (by a bit map of fixed size) are joined with them; the others pass straight through.
+    Which spans a text has depends on the text alone, so a text's digest is the key: it is the same however often Spark
+    computes a row. Only rows that may have spans (by a bit map of fixed size) are joined with them; the others pass
+    straight through. Null texts stay null; columns may have any names.
     """
-    rows = with_rows(docs, *docs.columns)
-    thin = rows.select(F.lit(0).alias("id"), ROW, F.col(text_col).alias("text"))
-    spans = staged(_spans(staged(_scan(thin), "secrets")).where("size(spans) > 0").select(F.col(ROW).alias("r"), "spans"), "spans")
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("doc")).withColumn("text", F.col(f"doc.`{text_col}`").cast("string")).withColumn("digest", F.sha2("text", 256)).withColumn(ROW, F.xxhash64("digest"))
+    found = _scan(rows.select(F.col("digest").alias("id"), ROW, "text"))
+    marked = staged(found.where("size(base) > 0 or size(parts) > 1"), "secrets").dropDuplicates(["id"])
+    spans = staged(_spans(marked, "id").where("size(spans) > 0").select(F.col("id").alias("digest"), F.xxhash64("id").alias("r"), "spans"), "spans")
     sure, perhaps = split_rows(rows, spans)
-    joined = perhaps.join(spans, F.col(ROW) == F.col("r"), "left").drop("r")
+    joined = spread_join(perhaps, spans.drop("r"), "digest", F.monotonically_increasing_id(), "left").select("doc", "text", "spans")
 
     def cut(batches):
         for batch in batches:
-            names = batch.schema.names
             texts = []
-            for text, found in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 if found:
                     out, at = [], 0
                     for s in found:
@@ -162,8 +165,13 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
                             at = s["end"]
                     text = "".join(out) + text[at:]
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names if n != "spans"], [n for n in names if n != "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
 
-    clean = joined.mapInArrow(cut, sure.schema)
-    out = sure.union(clean).drop(ROW)
-    return out.withColumn(chars_col, F.length(text_col).cast("long")) if chars_col in out.columns else out
+    clean = joined.mapInArrow(lean(cut), sure.select("doc", "text").schema)
+
+    def own(c: str):
+        if c == text_col:
+            return F.col("text").cast(docs.schema[c].dataType).alias(c)
+        return F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(f"doc.`{c}`").alias(c)
+
+    return sure.select("doc", "text").union(clean).select(*map(own, docs.columns))
