@@ -225,10 +225,11 @@ def split_rows(rows: DataFrame, listed: DataFrame, key: str = "r") -> tuple[Data
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """big joined with small, which has a row for each key, so that the rows of a frequent key go to `salts` tasks:
-    `by` deals big's rows out, small's rows are there once for each of them."""
+    `by` deals big's rows out, small's rows are there once for each of them. Never broadcast: what small's files take says
+    little about its size here."""
     left = big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame, label: str, rounds: int = 200) -> DataFrame:
@@ -252,10 +253,10 @@ def components(edges: DataFrame, label: str, rounds: int = 200) -> DataFrame:
             break
         both = neighbours(e)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = spread_join(both, least, "a", F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, least, "a", F.col("b"), salts=4).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            spread_join(large, low, "a", F.col("b")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+            spread_join(large, low, "a", F.col("b"), salts=4).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         ).distinct()
         before, e = e, staged(small, label)
         discard(before)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import ROW, components, in_map, membership, mix, slices, split_rows, utf8, with_rows, words
+from eventloom.llm.common import ROW, components, in_map, lean, lean_group, membership, mix, slices, split_rows, spread_join, utf8, whole_rows, with_rows, words
 from eventloom.llm.katz import pack, unpack
 from eventloom.session import staged
 
@@ -113,7 +113,7 @@ def count_columns(rows: DataFrame, parts: int, n_words: int) -> Columns:
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["p", "steps", "first", "counts"])
 
-    blocks = rows.mapInArrow(emit, "p int, steps binary, first long, counts binary")
+    blocks = rows.mapInArrow(lean(emit), "p int, steps binary, first long, counts binary")
 
     def keys_of(group: pa.Table):
         keys = np.concatenate([unpack(s).astype(np.int64) + f for s, f in zip(group.column("steps").to_pylist(), group.column("first").to_pylist())])
@@ -129,7 +129,7 @@ def count_columns(rows: DataFrame, parts: int, n_words: int) -> Columns:
         often = often[np.argsort(-counts[often], kind="stable")][: MOST_COMMON // parts]
         return pa.table({"p": pa.array([group.column("p")[0].as_py()], pa.int32()), "repeated": pa.array([keys[counts > 1].astype("<i8").tobytes()], pa.binary()), "common": pa.array([np.sort(keys[often]).astype("<i8").tobytes()], pa.binary()), "n": pa.array([int((counts > 1).sum())], pa.int64())})
 
-    counted = staged(blocks.groupBy("p").applyInArrow(reduce, "p int, repeated binary, common binary, n long"), "columns")
+    counted = staged(blocks.groupBy("p").applyInArrow(lean_group(reduce), "p int, repeated binary, common binary, n long"), "columns")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = MAP_LEAST
     while size < 8 * total and size < MAP_MOST:
@@ -187,7 +187,7 @@ def _measure(rows: DataFrame, columns, n_words: int, percent: int) -> DataFrame:
                     ["id", "n", "node", "light", "heavy"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, n long, node long, light binary, heavy binary")
+    return rows.mapInArrow(lean(run), f"id {kind}, n long, node long, light binary, heavy binary")
 
 
 def _postings(sets: DataFrame, column: str, parts: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _postings(sets: DataFrame, column: str, parts: int) -> DataFrame:
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["p", "columns", "nodes", "sizes"])
 
-    return sets.where(F.col(column).isNotNull()).select("node", "n", column).mapInArrow(run, "p int, columns binary, nodes binary, sizes binary")
+    return sets.where(F.col(column).isNotNull()).select("node", "n", column).mapInArrow(lean(run), "p int, columns binary, nodes binary, sizes binary")
 
 
 def _lists(group: pa.Table):
@@ -276,7 +276,7 @@ def _whole_sets(rows: DataFrame, wanted, n_words: int) -> DataFrame:
                 seen.update(nodes)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "columns"])
 
-    return rows.mapInArrow(run, "node long, columns binary").groupBy("node").agg(F.first("columns").alias("columns"))
+    return rows.mapInArrow(lean(run), "node long, columns binary").groupBy("node").agg(F.first("columns").alias("columns"))
 
 
 def _slot(nodes: np.ndarray) -> np.ndarray:
@@ -349,16 +349,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_w
     if not 50 <= percent <= 100:
         raise ValueError("the bounds hold for thresholds from 50 to 100 percent")
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # several groups for each task, so that the tasks' shares differ little
+    parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = with_rows(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"}).drop(ROW)
     columns = spark.sparkContext.broadcast(count_columns(rows.select("text"), parts, n_words))
     measured = staged(_measure(rows, columns, n_words, percent), "sets")
     sets = measured.where("light is not null or heavy is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
     sets = staged(sets, "first-columns")
-    pairs = _postings(sets, "light", parts).groupBy("p").applyInArrow(lambda group: _pairs(group, percent), "a long, b long, na long, nb long, c long")
+    pairs = _postings(sets, "light", parts).groupBy("p").applyInArrow(lean_group(lambda group: _pairs(group, percent)), "a long, b long, na long, nb long, c long")
     least = F.greatest(F.lit(1), F.least(*[F.floor((100 - percent) * F.col(x) / 100) for x in ("na", "nb")]))
     close = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("c") >= least).select("a", "b")
-    chains = _postings(sets, "heavy", parts).groupBy("p").applyInArrow(_chains, "a long, b long")
+    chains = _postings(sets, "heavy", parts).groupBy("p").applyInArrow(lean_group(_chains), "a long, b long")
     families = staged(components(close.union(chains), "families"), "family")
     wanted = spark.sparkContext.broadcast(membership(families, None, slot=F.expr("node & 67108863")))
     times = measured.where("node is not null").groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n"))
@@ -368,9 +369,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_w
     whole = placed.join(_whole_sets(rows.select("text"), wanted, n_words), "node")
     tiles = whole.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.withColumns({"i": F.least("block", "other_block"), "j": F.greatest("block", "other_block")})
-    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(4 * parts))).otherwise(F.col("root"))
+    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.col("root"))
     tiled = tiles.withColumn("g", shared).select("g", "root", "i", "j", "block", "node", "n", "k", "columns")
-    linked = staged(tiled.groupBy("g", "i", "j", F.when(F.col("j") > 0, F.col("root")).otherwise(F.lit(0)).alias("of")).applyInArrow(lambda group: _multiply(group, percent), "node long, other long, links long"), "links")
+    linked = staged(tiled.groupBy("g", "i", "j", F.when(F.col("j") > 0, F.col("root")).otherwise(F.lit(0)).alias("of")).applyInArrow(lean_group(lambda group: _multiply(group, percent)), "node long, other long, links long"), "links")
     found = components(linked.select(F.col("node").alias("a"), F.col("other").alias("b")), "components")
     count = linked.groupBy("node").agg(F.sum("links").alias("links"))
     out = measured.select("id", "n", "node").join(found, "node", "left").join(count, "node", "left")
@@ -380,18 +381,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_w
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): n_links counts the documents of other sets that link with it."""
     found = staged(classes(docs, id_col, text_col, n_words), "classes")
-    names = found.where("root is not null").groupBy("root").agg(F.min("id").alias("component"))
-    out = found.join(names, "root", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("root").isNull(), F.col("id"))).alias("component_id"), F.col("links").alias("n_links"))
+    names = found.where("root is not null").groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1")
+    out = spread_join(found, names, "root", F.monotonically_increasing_id(), "left")
+    component = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("component"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each component: that of the smallest id (the first row of repeated ids);
     documents without words stay."""
-    rows = with_rows(docs, *docs.columns)
-    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(ROW).alias("row"))
-    found = staged(classes(rows.select(order.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), n_words=n_words, percent=percent), "classes")
+    rows = whole_rows(docs)
+    order = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("none"), F.col(f"doc.`{id_col}`").alias("id"), F.col(ROW).alias("row"))
+    found = staged(classes(rows.select(order.alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text")), n_words=n_words, percent=percent), "classes")
     kept = found.where("root is not null").groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    gone = staged(found.join(kept, "root").where("id <> first").select(F.col("id.row").alias("r")), "copies")
+    gone = staged(spread_join(found, kept, "root", F.col("id.row")).where("id <> first").select(F.col("id.row").alias("r")), "copies")
     sure, perhaps = split_rows(rows, gone)
-    return sure.union(perhaps.join(gone, F.col(ROW) == F.col("r"), "left_anti")).drop(ROW)
+    left = sure.union(perhaps.join(gone, F.col(ROW) == F.col("r"), "left_anti"))
+    return left.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
