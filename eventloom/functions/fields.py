@@ -64,7 +64,8 @@ def is_slug(text: Column) -> Column:
 
 def price_label(kind: Column, low: Column, high: Column | None = None) -> Column:
     """A price for readers; zero and unknown prices are not told."""
-    say = lambda c: F.format_string("%.2f", c)
+    cents = lambda c: F.floor(c * 100)
+    say = lambda c: F.concat(F.floor(cents(c) / 100).cast("string"), F.lit("."), F.lpad((cents(c) % 100).cast("string"), 2, "0"))
     known = lambda c: F.coalesce(c != 0, F.lit(False))
     out = F.when(kind == "free", "Kostenlos")
     if high is not None:

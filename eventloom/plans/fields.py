@@ -59,7 +59,7 @@ def slug_test(spark, d):
     return c.withColumn("ok", X.is_slug(F.col("slug")))
 
 
-_two = lambda c: f"printf('%.2f', {c})"
+_two = lambda c: f"concat(CAST(floor(floor({c} * 100) / 100) AS BIGINT), '.', lpad(CAST(CAST(floor({c} * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0'))"
 
 
 @register("labels_text", ctes("catalog") + f"SELECT id, CASE WHEN price_type = 'free' THEN 'Kostenlos' WHEN price_min <> 0 THEN concat('ab ', {_two('price_min')}, '€') ELSE 'Unbekannt' END AS price, CASE WHEN price_type = 'free' THEN 'Kostenlos' WHEN price_min <> 0 AND price_max <> 0 THEN concat({_two('price_min')}, '€ - ', {_two('price_max')}, '€') WHEN price_min <> 0 THEN concat('ab ', {_two('price_min')}, '€') ELSE 'Unbekannt' END AS price_range, CASE WHEN is_indoor AND is_outdoor THEN 'Indoor & Outdoor' WHEN is_indoor THEN 'Indoor' WHEN is_outdoor THEN 'Outdoor' ELSE 'Unbekannt' END AS place, CASE WHEN age_min <> 0 AND age_max <> 0 THEN concat(age_min, '-', age_max, ' Jahre') WHEN age_min <> 0 THEN concat('ab ', age_min, ' Jahren') ELSE 'Nicht angegeben' END AS ages FROM catalog")

@@ -25,9 +25,11 @@ def address_normalize(spark, d):
 
 @register("berlin_time", ctes("catalog") + "SELECT id, (timezone('Europe/Berlin', CAST(strftime(start_datetime + to_hours(id % 24), '%Y-%m-%d %H:%M:%S') AS TIMESTAMP)) AT TIME ZONE 'UTC') AS utc FROM catalog")
 def berlin_time(spark, d):
-    """Texts without a zone are Berlin times; as UTC."""
+    """Texts without a zone are Berlin times; as UTC. Of an hour that comes twice, the second is meant (winter time)."""
     t = F.date_format(F.col("start_datetime") + F.make_dt_interval(F.lit(0), (F.col("id") % 24).cast("int")), "yyyy-MM-dd HH:mm:ss")
-    return view(spark, d, "catalog").select("id", F.to_utc_timestamp(t.try_cast("timestamp"), "Europe/Berlin").cast("timestamp_ntz").alias("utc"))
+    x = view(spark, d, "catalog").select("id", t.try_cast("timestamp").alias("t")).withColumn("u", F.to_utc_timestamp("t", "Europe/Berlin"))
+    later = F.col("u") + F.expr("INTERVAL '1' HOUR")
+    return x.select("id", F.when(F.from_utc_timestamp(later, "Europe/Berlin") == F.col("t"), later).otherwise(F.col("u")).cast("timestamp_ntz").alias("utc"))
 
 
 _agg = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{p}')" for p in X.AGGREGATORS) + ")"

@@ -43,7 +43,7 @@ def budget_filter(spark, d):
     return view(spark, d, "catalog").select("id", free.alias("at_zero"), (free | F.coalesce((low != 0) & (low <= 15), F.lit(False))).alias("at_30"))
 
 
-@register("plan_scores", TIPS + f"SELECT id, round(CASE WHEN event_id IS NULL THEN 50 ELSE CASE WHEN coalesce(family_fit, 0) = 0 THEN 50 ELSE family_fit END * CAST(0.3 AS DOUBLE) + CASE WHEN coalesce(stressfree, 0) = 0 THEN 50 ELSE stressfree END * CAST(0.2 AS DOUBLE) + CASE WHEN coalesce(quality, 0) = 0 THEN 50 ELSE quality END * CAST(0.1 AS DOUBLE) END - coalesce(km, 10) * 2 + CASE WHEN price_type = 'free' THEN 15 WHEN price_min <> 0 AND price_min <= {BUDGET / 4} THEN 10 ELSE 0 END + 5 * (" + " + ".join(f"CASE WHEN {a} BETWEEN coalesce(age_min, 0) AND coalesce(age_max, 18) THEN 1 ELSE 0 END" for a in AGES) + "), 4) AS score FROM near")
+@register("plan_scores", TIPS + f"SELECT id, round(CASE WHEN event_id IS NULL THEN 50 ELSE CASE WHEN coalesce(family_fit, 0) = 0 THEN 50 ELSE family_fit END * CAST(0.3 AS DOUBLE) + CASE WHEN coalesce(stressfree, 0) = 0 THEN 50 ELSE stressfree END * CAST(0.2 AS DOUBLE) + CASE WHEN coalesce(quality, 0) = 0 THEN 50 ELSE quality END * CAST(0.1 AS DOUBLE) END - coalesce(km, 10) * 2 + CASE WHEN price_type = 'free' THEN 15 WHEN price_min <> 0 AND price_min <= {BUDGET / 4} THEN 10 ELSE 0 END + 5 * (" + " + ".join(f"CASE WHEN {a} BETWEEN coalesce(age_min, 0) AND coalesce(age_max, 18) THEN 1 ELSE 0 END" for a in AGES) + "), 4) + 0.0 AS score FROM near")
 def plan_scores(spark, d):
     return near(spark, d).select("id", F.round(scoring.plan_score(BUDGET, AGES), 4).alias("score"))
 
