@@ -1,3 +1,3 @@
 """The query catalogue, by theme."""
 
-from eventloom.plans import aggregates, canonical, dates, fields, merges, merging, more, planning, scoring, searching, sourcing, streams, texts  # noqa: F401
+from eventloom.plans import aggregates, canonical, dates, editing, fields, merges, merging, more, planning, scoring, searching, sourcing, streams, texts  # noqa: F401

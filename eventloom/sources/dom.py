@@ -216,12 +216,12 @@ def list_rows(root: Node, base: str, items: str = ".event", selectors: dict[str,
 
 
 def suggest(root: Node, value: str) -> str | None:
-    """A selector for the smallest element whose text or content holds a value: its id, else a property, else classes, else a
+    """A selector for the smallest, innermost element whose text or content holds a value: its id, else a property, else classes, else a
     path of tags, the first that finds no other element before it."""
     holders = [n for n in root.walk() if value in n.text(" ") or value in n.attrs.get("content", "")]
     if not value or not holders:
         return None
-    node = min(holders, key=lambda n: len(n.text(" ")) or len(n.attrs.get("content", "")))
+    node = min(reversed(holders), key=lambda n: len(n.text(" ")) or len(n.attrs.get("content", "")))
     tries = [f"#{node.attrs['id']}"] if node.attrs.get("id") else []
     tries += [f'[itemprop="{node.attrs["itemprop"]}"]'] if node.attrs.get("itemprop") else []
     classes = node.attrs.get("class", "").split()
