@@ -232,6 +232,17 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, by: Column, how: str
     return left.join(right.hint("merge"), [key, "__salt"], how).drop("__salt")
 
 
+def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """big joined with small, which has a row for each key. Keys that hold more than one in `share` of big's rows, of which there
+    can't be more than `share`, are joined by broadcast and so stay where they are; all others meet in a sort-merge join.
+    big is read three times: a table that is cheap to read."""
+    total = big.count()
+    hot = F.broadcast(big.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * share > total).select(key))
+    few = F.broadcast(small.join(hot, key, "left_semi"))
+    common = big.join(hot, key, "left_semi").join(few, key, how)
+    return common.unionByName(big.join(hot, key, "left_anti").join(small.hint("merge"), key, how))
+
+
 def components(edges: DataFrame, label: str, rounds: int = 200) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
 

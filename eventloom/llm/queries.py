@@ -83,6 +83,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies through the extendible-hash index."""
+    from eventloom.llm import exactdedup
+
+    return exactdedup.resolve(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases, scored and subsumed."""
+    from eventloom.llm import phrases
+
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation."""
+    from eventloom.llm import conversations
+
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     """All numbered queries by name."""
     return {name: function for name, function in sorted(globals().items()) if name.startswith("op")}
@@ -90,4 +111,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the numbered queries that SQL can express."""
-    return {}
+    from eventloom.llm import exactdedup, phrases
+
+    return {"op11_exact_dedup": exactdedup.SQL, "op12_phrases": phrases.SQL}
