@@ -222,7 +222,9 @@ def _map(df: DataFrame, rows_of, fields: list[tuple[str, pa.DataType]]) -> DataF
 
 
 def _sorted(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """df with the rows of equal keys in one task, next to each other. Dealt by a hash of the keys: Spark leaves out a repartition by the
+    very columns that a join below has dealt by, and may then split what it takes for skew in that join, and groups with it."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def _summaries(batches):
