@@ -57,6 +57,7 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(6)
     monkeypatch.setattr(phrases, "LEAST_CELLS", 64)
     monkeypatch.setattr(phrases, "MOST_CELLS", 64)
+    monkeypatch.setattr(phrases, "HELD", 50)
     assert sorted(tuple(r) for r in phrases.mine(df).collect()) == plain(rows)
 
 
@@ -64,7 +65,7 @@ def test_sketch_never_underestimates_and_prunes(spark):
     rows = [("en", f"rare{i} word{i} once{i}") for i in range(4000)] + [("en", "very frequent phrase")] * 12
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     a, b = phrases.sketch(df, 1 << 16, 3, 10)
-    counted = {r["phrase"]: r["f"] for r in phrases.exact(df, (a, b), 1 << 16, 3).collect()}
+    counted = {r["phrase"]: r["f"] for r in phrases.exact(df, (a, b), 1 << 16, 3, 1, 8).collect()}
     assert counted[""] == 3 * len(rows)
     assert all(counted[p] == 12 for p in ("very", "frequent", "phrase", "very frequent", "frequent phrase", "very frequent phrase"))
     assert len(counted) < 400, "almost all of 24,000 rare n-grams are ruled out"
@@ -75,7 +76,7 @@ def test_products_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "a", big), ("en", "b", big + 1), ("en", "a b", big - 1)], "lang string, phrase string, f long")
     from pyspark.sql import functions as F
 
-    cand = counts.where("phrase = 'a b'").withColumn("words", F.split("phrase", " ")).withColumnRenamed("f", "a")
+    cand = counts.where("phrase = 'a b'").withColumnRenamed("f", "a")
     (row,) = phrases.cuts(cand, counts).collect()
     assert row["score"] == 1_000_000 * (big - 1) ** 2 // (big * (big + 1))
 
