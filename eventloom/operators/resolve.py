@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from eventloom.functions.fingerprint import dedup_title
+from eventloom.joins import hot_join, salted_pairs
+from eventloom.session import staged
 
 THRESHOLD = 0.85
 
@@ -26,19 +28,53 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+#: Words that two titles must share, of all words of both: what is left of the threshold when their characters agree wholly.
+LEAST_SHARED = 0.625
+
+
+def similar_titles(mine: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (day, t, u, j) with a word overlap j > LEAST_SHARED, for titles mine (day, t) and other (day, u, ...), each title of a day
+    once: the pairs that can still reach the threshold, found without comparing all titles of a day.
+
+    Of n words at least floor(0.625 n) + 1 must be shared, so two such titles share one of their first n - floor(0.625 n) words in any
+    order that is the same for all. Words go from the rarest of the day to the most common; a word that very many titles begin with
+    is spread over tasks. Sizes and the places of the shared word rule out most pairs before their words are compared.
+    """
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    named = mine.select("day", F.col("t").alias("title")).unionByName(other.select("day", F.col("u").alias("title"))).distinct()
+    each = staged(named.where("day is not null").select("day", "title", F.explode(words(F.col("title"))).alias("word")), "title-words")
+    counts = each.groupBy("day", "word").agg(F.count("*").alias("n")).select(F.struct("day", "word").alias("key"), "n")
+    rare = hot_join(each.select("title", F.struct("day", "word").alias("key")), counts, "key")
+    sorted_ = rare.groupBy(F.col("key.day").alias("day"), "title").agg(F.array_sort(F.collect_list(F.struct(F.col("n"), F.col("key.word").alias("word")))).alias("w"))
+    size = F.size("w")
+    first = F.slice("w", F.lit(1), size - F.floor(size * LEAST_SHARED).cast("int"))
+    heads = staged(sorted_.select("day", "title", size.alias("size"), F.transform("w", lambda x: x["word"]).alias("w"), F.posexplode(first).alias("at", "x")).select("day", "title", "size", "w", "at", "x.word", "x.n"), "title-heads")
+    left = mine.join(heads.withColumnRenamed("title", "t"), ["day", "t"])
+    right = other.select("day", "u").join(heads.select("day", F.col("title").alias("u"), F.col("size").alias("size2"), F.col("w").alias("w2"), F.col("at").alias("at2"), "word", "n"), ["day", "u"])
+    pairs = salted_pairs(left, right, ["day", "word"], "n", F.col("u"))
+    # the shared words of two titles of sizes a and b: more than 0.625 / 1.625 (a + b)
+    needed = (F.col("size") + F.col("size2")) * LEAST_SHARED / (1 + LEAST_SHARED)
+    possible = pairs.where(F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) > needed)
+    shared = F.size(F.array_intersect("w", "w2"))
+    met = possible.withColumn("j", shared / (F.col("size") + F.col("size2") - shared)).where(F.col("j") > LEAST_SHARED)
+    # a pair meets at every word that both begin with
+    return met.select("day", "t", "u", "j").distinct()
+
+
 def matches(new: DataFrame, known: DataFrame, earlier: bool = False) -> DataFrame:
     """(id, matched, kind, confidence): for each new event the first known one by exact fingerprint, else by similar title on
     the same day; earlier: among those of smaller id, so that a table can be matched with itself. Both have id, title, day,
-    fingerprint. Equal titles of a day are compared once; word overlap is computed
-    first, and character ratios only for pairs that can still pass."""
+    fingerprint. Equal titles of a day are compared once; a token join finds the pairs with enough words in common, and character ratios
+    are computed only for those of them that can still pass."""
     before = F.col("matched") < F.col("id") if earlier else F.lit(True)
     exact = new.select("id", "fingerprint").join(known.groupBy("fingerprint").agg(F.min("id").alias("matched")), "fingerprint").where(before)
     exact = exact.select("id", "matched", F.lit("exact").alias("kind"), F.lit(1.0).alias("confidence"))
     rest = new.join(exact.select("id"), "id", "left_anti").withColumn("t", dedup_title(F.col("title")))
     mine = rest.select("day", "t").distinct()
     other = known.withColumn("u", dedup_title(F.col("title"))).groupBy("day", "u").agg(F.min("id").alias("matched"))
-    pairs = mine.join(other, "day").where((F.col("t") != "") & (F.col("u") != ""))
-    pairs = pairs.withColumn("j", jaccard(F.col("t"), F.col("u"))).where(0.6 + 0.4 * F.col("j") > THRESHOLD)
+    pairs = similar_titles(mine.where("t <> ''"), other.where("u <> ''")).join(other, ["day", "u"])
+    lengths = F.length("t") + F.length("u")
+    pairs = pairs.where(0.6 * 2 * F.least(F.length("t"), F.length("u")) / lengths + 0.4 * F.col("j") > THRESHOLD - 1e-9)
     close = pairs.withColumn("s", 0.6 * char_ratio("t", "u") + 0.4 * F.col("j")).where(F.col("s") > THRESHOLD)
     first = rest.join(close, ["day", "t"]).where(before).groupBy("id").agg(F.min(F.struct("matched", "s")).alias("m"))
     fuzzy = first.select("id", "m.matched", F.lit("fuzzy").alias("kind"), F.round("m.s", 6).alias("confidence"))
