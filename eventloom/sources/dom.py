@@ -1,4 +1,4 @@
-"""Fields of web pages by their markup: a small tree from the standard library's parser, inside Arrow batches.
+"""Fields of web pages by their markup, read from flat page trees inside Arrow batches.
 
 What needs the tree (visible text, labelled places, descriptions, configured selectors) is read once for each page in Python;
 dates, addresses and prices are then found by column expressions in the engine.
@@ -7,7 +7,6 @@ dates, addresses and prices are then found by column expressions in the engine.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -16,117 +15,21 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dates, text as T
 from eventloom.session import ship_package
-from eventloom.sources.html import BOXES, NOISY, VOID, page_title
+from eventloom.sources.html import page_title
+from eventloom.sources.tree import Node, hidden, holders, parse, select
 
 #: Labels of places, what such labels look like in running text, containers of descriptions.
 PLACE_LABELS = {"ort", "ort:", "veranstaltungsort", "veranstaltungsort:", "spielort", "spielort:", "location", "location:", "wo", "wo:", "wo?", "adresse", "adresse:", "anfahrt", "anfahrt:", "treffpunkt", "treffpunkt:", "venue", "venue:"}
-PLACE_TEXT = re.compile(r"(?:Ort|Veranstaltungsort|Location|Spielort|Spielstätte|Wo)\s*[:]\s*(.+)", re.I)
+PLACE_TEXT = re.compile(r"(?:Ort|Veranstaltungsort|Location|Spielort|Spielstätte|Wo|Adresse|Anfahrt|Treffpunkt|Venue|Wo\?)\s*[:]\s*(.+)", re.I)
 PLACE_ARIA = ("ort", "veranstaltungsort", "location", "venue", "adresse")
 DESCRIPTION_BOXES = [".vevent", "#description", ".event-detail", ".event-content", ".event-description", "article.event", '[itemtype*="Event"]', ".detail-contents"]
 #: field -> confidence of what the heuristics find.
 CONFIDENCE = {"title": 0.70, "start_datetime": 0.70, "end_datetime": 0.65, "location_address": 0.75, "location_name": 0.65, "image": 0.70, "description": 0.60}
 CONFIGURED = 0.95
-_PART = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w:-]+)(?:([*^$]?=)[\"']?([^\"'\]]*)[\"']?)?\]")
-
-
-class Node:
-    """An element: tag, attributes, children (elements and texts), parent."""
-
-    __slots__ = ("tag", "attrs", "kids", "parent")
-
-    def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
-
-    def walk(self):
-        """All elements below, in document order."""
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
-
-    def strings(self, hidden=lambda n: False):
-        for k in self.kids:
-            if isinstance(k, str):
-                if k.strip():
-                    yield k.strip()
-            elif not hidden(k):
-                yield from k.strings(hidden)
-
-    def text(self, sep: str = "") -> str:
-        return sep.join(self.strings())
-
-    def next(self):
-        """The next element with the same parent."""
-        if self.parent is None:
-            return None
-        after = iter(self.parent.kids)
-        for k in after:
-            if k is self:
-                return next((n for n in after if isinstance(n, Node)), None)
-        return None
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.kids.append(data)
-
-
-def parse(html: str | None) -> Node:
-    """The tree of a page; broken markup gives what can be read."""
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
 
 
-def _fits(node: Node, compound: str) -> bool:
-    for tag, name, cls, attr, op, value in _PART.findall(compound):
-        have = node.attrs.get(attr) if attr else None
-        if (
-            (tag and tag not in ("*", node.tag)) or (name and node.attrs.get("id") != name) or (cls and cls not in node.attrs.get("class", "").split())
-            or (attr and have is None) or (op == "=" and have != value) or (op == "*=" and value not in have) or (op == "^=" and not have.startswith(value)) or (op == "$=" and not have.endswith(value))
-        ):
-            return False
-    return True
-
-
-def select(top: Node, css: str) -> list[Node]:
-    """Elements below top that any of the comma-separated selectors fits; a blank stands for any descendant."""
-    groups = [g.split() for g in css.split(",") if g.strip()]
-
-    def under(node: Node, chain: list[str]) -> bool:
-        at = node.parent
-        for part in reversed(chain):
-            while at is not None and at is not top and not _fits(at, part):
-                at = at.parent
-            if at is None or at is top:
-                return False
-            at = at.parent
-        return True
-
-    return [n for n in top.walk() if any(_fits(n, g[-1]) and under(n, g[:-1]) for g in groups)]
-
-
-def hidden(node: Node) -> bool:
-    """Whether readers don't see an element as part of the page's text."""
-    return node.tag in NOISY or bool(BOXES.search(node.attrs.get("class", ""))) or bool(BOXES.search(node.attrs.get("id", "")))
+def _is_label(node: Node) -> bool:
+    return node.length() < 32 and node.text().lower() in PLACE_LABELS
 
 
 def location_name(root: Node, visible: str) -> str | None:
@@ -135,33 +38,38 @@ def location_name(root: Node, visible: str) -> str | None:
     if m and 0 < len(m[1].strip()) <= 200:
         return m[1].strip()
     for n in root.walk():
-        if n.tag in ("dt", "th", "label", "strong", "b", "span") and n.text().lower() in PLACE_LABELS:
+        if n.tag in ("dt", "th", "label", "strong", "b", "span") and _is_label(n):
             for beside in (n.next(), n.parent.next() if n.parent else None):
-                if beside and len(beside.text()) > 2:
-                    return beside.text()[:200]
+                if beside and beside.length() > 2:
+                    return beside.text(most=200)
     for row in select(root, "table tr"):
-        cells = [c for c in row.walk() if c.tag in ("td", "th")]
-        if len(cells) >= 2 and cells[0].text().lower() in PLACE_LABELS and len(cells[1].text()) > 2:
-            return cells[1].text()[:200]
+        cells = []
+        for c in row.walk():
+            if c.tag in ("td", "th"):
+                cells.append(c)
+                if len(cells) == 2:
+                    break
+        if len(cells) == 2 and _is_label(cells[0]) and cells[1].length() > 2:
+            return cells[1].text(most=200)
     for n in root.walk():
-        if any(w in n.attrs.get("aria-label", "").lower() for w in PLACE_ARIA) and len(n.text()) > 2:
-            return n.text()[:200]
+        if n.attrs and any(w in n.attrs.get("aria-label", "").lower() for w in PLACE_ARIA) and n.length() > 2:
+            return n.text(most=200)
     return None
 
 
 def description(root: Node) -> str | None:
     """An event's text: its container, else the paragraphs of the main part, else a long description in the head."""
     for css in DESCRIPTION_BOXES:
-        box = next(iter(select(root, css)), None)
-        if box is not None and len(box.text("\n")) > 50:
-            return box.text("\n")[:8000]
-    main = next((n for tag in ("main", "article", "body") for n in root.walk() if n.tag == tag), None)
+        for box in select(root, css, 1):
+            if box.length(1) > 50:
+                return box.text("\n", 8000)
+    main = next((n for tag in ("main", "article", "body") for n in select(root, tag, 1)), None)
     if main is not None:
-        told = "\n".join(t for t in (p.text() for p in select(main, "p")) if len(t) > 10)
+        told = "\n".join(p.text(most=8000) for p in select(main, "p") if p.length() > 10)
         if len(told) > 50:
             return told[:8000]
     for css in ('meta[property="og:description"]', 'meta[name="description"]'):
-        for n in select(root, css)[:1]:
+        for n in select(root, css, 1):
             if len(n.attrs.get("content", "").strip()) > 80:
                 return n.attrs["content"].strip()[:8000]
     return None
@@ -169,7 +77,7 @@ def description(root: Node) -> str | None:
 
 def og_image(root: Node) -> str | None:
     """The page's own image, if its link is whole."""
-    url = next((n.attrs.get("content", "").strip() for n in select(root, 'meta[property="og:image"]')), "")
+    url = next((n.attrs.get("content", "").strip() for n in select(root, 'meta[property="og:image"]', 1)), "")
     return url if url.startswith(("http://", "https://")) else None
 
 
@@ -185,7 +93,7 @@ def configured(root: Node, fields: dict[str, tuple[list[str], str]], base: str =
     found = {}
     for field, (selectors, attr) in fields.items():
         for css in selectors:
-            value = next((value_of(n, attr) for n in select(root, css)[:1]), "")
+            value = next((value_of(n, attr) for n in select(root, css, 1)), "")
             if value:
                 found[field] = (urljoin(base, value) if field in ("image", "image_url") and base else value, css)
                 break
@@ -203,7 +111,7 @@ def list_rows(root: Node, base: str, items: str = ".event", selectors: dict[str,
     for item in select(root, items):
         row = {}
         for field, css in (LIST | (selectors or {})).items():
-            node = next(iter(select(item, css)), None)
+            node = next(iter(select(item, css, 1)), None)
             if node is None:
                 continue
             given = next((node.attrs[a] for a in LIST_ATTRIBUTES.get(field, []) if node.attrs.get(a)), None)
@@ -218,20 +126,23 @@ def list_rows(root: Node, base: str, items: str = ".event", selectors: dict[str,
 def suggest(root: Node, value: str) -> str | None:
     """A selector for the smallest, innermost element whose text or content holds a value: its id, else a property, else classes, else a
     path of tags, the first that finds no other element before it."""
-    holders = [n for n in root.walk() if value in n.text(" ") or value in n.attrs.get("content", "")]
-    if not value or not holders:
+    if not value or not (held := holders(root, value)):
         return None
-    node = min(reversed(holders), key=lambda n: len(n.text(" ")) or len(n.attrs.get("content", "")))
+    node = min(reversed(held), key=lambda h: h[0])[1]
     tries = [f"#{node.attrs['id']}"] if node.attrs.get("id") else []
     tries += [f'[itemprop="{node.attrs["itemprop"]}"]'] if node.attrs.get("itemprop") else []
     classes = node.attrs.get("class", "").split()
     tries += [f"{node.tag}.{c}" for c in classes] + (["{}.{}".format(node.tag, ".".join(classes))] if len(classes) > 1 else [])
+    for css in tries:
+        if select(root, css, 1) == [node]:
+            return css
     path, at = [], node
     while at is not None and at.tag:
         path.insert(0, at.tag)
-        tries.append(" ".join(path))
+        if select(root, " ".join(path), 1) == [node]:
+            return " ".join(path)
         at = at.parent
-    return next((css for css in tries if select(root, css)[:1] == [node]), None)
+    return None
 
 
 _PARTS = "visible string, location_name string, image string, description string"
