@@ -1,4 +1,4 @@
-"""Small column functions on event fields: links, images, labels, buckets, JSON answers of language models, cron times."""
+"""Small column functions on event fields: links, images, labels, buckets, cron times."""
 
 from __future__ import annotations
 
@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.text import is_street
 
-# Parts of calendar pages' links, labels, age buckets, answer enumerations.
+# Parts of calendar pages' links, labels, age buckets.
 AGGREGATORS = ["karlsruhe.de", "kalender", "veranstaltungskalender", "eventkalender", "events.karlsruhe"]
 BUCKETS = ["0_2", "3_5", "6_9", "10_12", "13_15"]
-RATINGS = ["0+", "3+", "6+", "10+", "13+", "16+", "18+"]
 REASON_KEYS = ["family_fit", "relevance", "stressfree", "quality", "fun"]
 SOURCE_LINKS = [("rss", "application/(?:rss|atom)\\+xml"), ("ics", "text/calendar")]
 
@@ -133,28 +132,6 @@ def importance_confidence(importance: Column) -> Column:
     return F.least(F.lit(1.0), F.coalesce(F.nullif(importance, F.lit(0.0)), F.lit(0.5)))
 
 
-def answer_problems(answer: Column) -> Column:
-    """What is wrong with a classifier's JSON answer (a text): an array of names, empty for a valid one."""
-    kinds = "categories array<string>, age_min double, age_max double, confidence double, age_rating string, ai_summary_short string, ai_fit_blurb string, ai_summary_highlights array<string>, summary_confidence double"
-    a = F.from_json(answer, kinds)
-    outside = lambda c, low, high: F.coalesce((c < low) | (c > high), F.lit(False))
-    rules = {
-        "no_object": a.isNull() | ~F.coalesce(F.ltrim(answer).startswith("{"), F.lit(False)), "categories_missing": a["categories"].isNull(), "categories_too_many": F.size(a["categories"]) > 5,
-        "age_min_range": outside(a["age_min"], 0, 99), "age_max_range": outside(a["age_max"], 0, 99), "confidence_range": outside(a["confidence"], 0, 1), "age_rating_enum": ~F.coalesce(a["age_rating"].isin(RATINGS), F.lit(True)),
-        "summary_long": F.length(a["ai_summary_short"]) > 300, "blurb_long": F.length(a["ai_fit_blurb"]) > 150, "highlights_too_many": F.size(a["ai_summary_highlights"]) > 5, "summary_confidence_range": outside(a["summary_confidence"], 0, 1),
-    }
-    return F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), n) for n, r in rules.items()]))
-
-
-def lenient_json(text: Column) -> Column:
-    """The JSON of an answer: the whole text, else a fenced block, else what stands between the first opening and the last
-    closing brace or bracket; null if none parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-    braces, brackets = F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    good = lambda c: F.when(F.try_parse_json(c).isNotNull() & (F.trim(c) != ""), F.trim(c))
-    return F.coalesce(good(text), good(fenced), good(braces), good(brackets))
-
-
 #: How kinds of sources are called, and what is said of a source that isn't of its kind.
 KIND_LABELS = {"rss": "RSS/Atom-Feed", "ics": "ICS-Kalender", "html": "HTML-Seite", "scraper": "HTML (Scraper)", "unknown": "unbekanntes Format"}
 IS_PAGE = ("Die URL liefert eine HTML-Seite, kein ", ". Bitte die richtige Feed-URL verwenden (z. B. .ics oder RSS-Link).")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.catalog import register
+from eventloom.functions import answers as A
 from eventloom.functions import fields as X
 from eventloom.plans.views import CATALOG_NOW, NOW, ctes, view
 from eventloom.session import table
@@ -124,7 +125,7 @@ PROBLEMS = {0: "", 1: "categories_too_many,confidence_range", 2: "categories_mis
 
 @register("answer_schema", f"WITH {ANSWERS} SELECT id, CASE id % 9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in PROBLEMS.items()) + " END AS problems FROM answers")
 def answer_schema(spark, d):
-    return made(spark, d, ANSWERS, "answers").select("id", F.array_join(X.answer_problems(F.col("answer")), ",").alias("problems"))
+    return made(spark, d, ANSWERS, "answers").select("id", F.array_join(A.problems(F.col("answer")), ",").alias("problems"))
 
 
 REPLIES = "replies AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN concat('{\"a\": ', o_orderkey, '}') WHEN 1 THEN concat('Here:', chr(10), '```json', chr(10), '{\"a\": ', o_orderkey, '}', chr(10), '```', chr(10), 'done') WHEN 2 THEN concat('Sure: {\"a\": ', o_orderkey, '} ok') WHEN 3 THEN concat('list [', o_orderkey, ', 2] end') WHEN 4 THEN 'nothing' WHEN 5 THEN '{\"a\": ' END AS reply FROM orders)"
@@ -132,7 +133,7 @@ REPLIES = "replies AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN
 
 @register("lenient_json", f"WITH {REPLIES} SELECT id, CASE id % 7 WHEN 0 THEN reply WHEN 1 THEN concat('{{\"a\": ', id, '}}') WHEN 2 THEN concat('{{\"a\": ', id, '}}') WHEN 3 THEN concat('[', id, ', 2]') END AS parsed FROM replies")
 def lenient_json(spark, d):
-    return made(spark, d, REPLIES, "replies").select("id", X.lenient_json(F.col("reply")).alias("parsed"))
+    return made(spark, d, REPLIES, "replies").select("id", A.lenient_json(F.col("reply")).alias("parsed"))
 
 
 KINDS = "kinds AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'rss' WHEN 1 THEN 'ics' WHEN 2 THEN 'HTML' WHEN 3 THEN 'unknown' END AS detected, CASE o_orderkey % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'ICS' WHEN 2 THEN 'html' ELSE 'scraper' END AS configured FROM orders)"
