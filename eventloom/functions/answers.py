@@ -10,17 +10,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.text import once
+
 #: What age ratings there are.
 RATINGS = ["0+", "3+", "6+", "10+", "13+", "16+", "18+"]
 #: Fixed value: JSON's blanks.
 _BLANKS = " \t\r\n"
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with the value computed once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def strict_json(text: Column) -> Column:
     """The VARIANT of a text that is one JSON value and nothing else, else null (also for null and for objects with a repeated key).
 
@@ -30,8 +27,8 @@ def strict_json(text: Column) -> Column:
     key = F.md5(text)
     whole = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"'), key, F.lit('":1}')))
     keys = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
-    alone = lambda v: _once(keys(v), lambda k: (F.size(k) == 2) & F.array_contains(k, key))
-    return _once(whole, lambda v: F.when(alone(v), F.try_variant_get(v, "$.value", "variant")))
+    alone = lambda v: once(keys(v), lambda k: (F.size(k) == 2) & F.array_contains(k, key))
+    return once(whole, lambda v: F.when(alone(v), F.try_variant_get(v, "$.value", "variant")))
 
 
 def balanced(text: Column, opening: str, closing: str) -> Column:
@@ -188,4 +185,4 @@ def problems(answer: Column, schema: Rule = CLASSIFICATION) -> Column:
             out += broken(held, inner, label)
         return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in out]))
 
-    return _once(strict_json(answer), found)
+    return once(strict_json(answer), found)

@@ -46,6 +46,11 @@ MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august"
 ADDRESS_PLACEHOLDERS = ["siehe beschreibung", "s. beschreibung", "siehe text", "s. text", "siehe oben", "siehe unten", "siehe veranstalter", "siehe website", "siehe homepage", "s. u.", "siehe details", "details siehe", "s. d.", "siehe angaben", "entnehmen sie", "siehe veranstaltungsseite", "siehe eventbeschreibung", "s. b.", "siehe oben / unten"]
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has_any(text: Column, words: list[str]) -> Column:
     """Whether any word is part of the text."""
     return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])

@@ -58,6 +58,19 @@ def sitemap_filter(spark, d):
     return feeds.sitemap_urls(feeds.listed_maps(index, named))
 
 
+@register("sitemap_walk", ctes("catalog") + f"SELECT * FROM (SELECT source_id AS site, row_number() OVER (PARTITION BY source_id ORDER BY id // 500, id) AS place, concat('https://x/', {_path}, id) AS url FROM catalog WHERE id % 11 NOT IN (2, 9, 10)) WHERE place <= 200")
+def sitemap_walk(spark, d):
+    """Event pages in the order of their discovery: map m of a source lists the map that lists it, the maps 4m + 1 to 4m + 4 and its pages."""
+    path = F.coalesce(*[F.when(F.col("id") % 11 == k, p) for k, p in enumerate(PATHS)])
+    loc = lambda c: F.concat(F.lit("<loc>"), c, F.lit("</loc>"))
+    address = lambda m: F.concat(F.lit("https://x/"), F.col("site").cast("string"), F.lit("/sitemap-"), m.cast("string"), F.lit(".xml"))
+    c = view(spark, d, "catalog").select(F.col("source_id").alias("site"), F.floor(F.col("id") / 500).alias("m"), "id", loc(F.concat(F.lit("https://x/"), path, F.col("id").cast("string"))).alias("page"))
+    c = c.groupBy("site", "m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "page"))), lambda p: p["page"]), "").alias("pages"))
+    maps = F.concat(*[loc(address(n)) for n in (F.floor((F.col("m") - 1) / 4), *[4 * F.col("m") + k for k in range(1, 5)])])
+    documents = c.select(address(F.col("m")).alias("address"), F.concat(F.lit("<urlset>"), maps, "pages", F.lit("</urlset>")).alias("body"))
+    return feeds.walk_sitemaps(c.select("site").distinct().select("site", address(F.lit(0)).alias("address")), documents)
+
+
 @register("robots_sitemap", ctes("source") + "SELECT id, concat(coalesce(url, 'none'), '/sitemap.xml') AS sitemap FROM source")
 def robots_sitemap(spark, d):
     body = F.concat(F.lit("User-agent: *\nDisallow: /x\nSitemap: "), F.coalesce("url", F.lit("none")), F.lit("/sitemap.xml\nsitemap: second"))
