@@ -266,3 +266,30 @@ def event_ewma(spark, d):
     runs = runs.select("source_id", "events_found", (F.row_number().over(newest) - 1).alias("k"), F.lead("id").over(newest).isNull().alias("first"))
     weight = F.pow(F.lit(0.7), F.col("k")) * F.when(F.col("first"), 1.0).otherwise(0.3)
     return runs.groupBy("source_id").agg(F.round(F.sum(weight * F.col("events_found")), 6).alias("ewma"))
+
+
+#: Entries that wait, by provider group, with places, times and images that are missing at rates that differ by group.
+WAITING = {
+    "grp": "provider_id % 20",
+    "place": "CASE WHEN id % 5 < provider_id % 4 THEN '  ' ELSE address END",
+    "starts": "CASE WHEN id % 7 >= provider_id % 5 THEN start_datetime END",
+    "ends": "end_datetime",
+    "images": "CASE WHEN id % 3 <> provider_id % 2 THEN 1 ELSE 0 END",
+}
+#: The share of missing values above which a crawl is suggested, and how it is put.
+CRAWL_ABOVE = [("no_place", 0.35, "% ohne Adresse"), ("no_start", 0.25, "% ohne Startdatum"), ("no_image", 0.4, "% ohne Bild")]
+_why = ", ".join(f"CASE WHEN {n} / total > {share} THEN concat(CAST(floor({n} * 100.0 / total + 0.5) AS BIGINT), '{text}') END" for n, share, text in CRAWL_ABOVE)
+
+
+@register("pending_missing", ctes("catalog") + f"""SELECT *, nullif(concat_ws(', ', {_why}), '') AS crawl_why FROM (
+    SELECT grp, count(*) AS total, count(*) FILTER (WHERE place IS NULL OR trim(place) = '') AS no_place, count(*) FILTER (WHERE starts IS NULL) AS no_start,
+        count(*) FILTER (WHERE ends IS NULL) AS no_end, count(*) FILTER (WHERE images = 0) AS no_image
+    FROM (SELECT {", ".join(f"{e} AS {n}" for n, e in WAITING.items())} FROM catalog WHERE status <> 'published') GROUP BY grp)""")
+def pending_missing(spark, d):
+    """What waiting entries lack, by group, and why a crawl is suggested: null where no share is above its threshold."""
+    w = view(spark, d, "catalog").where("status <> 'published'").select(*[F.expr(e).alias(n) for n, e in WAITING.items()])
+    gone = {"no_place": F.col("place").isNull() | (F.trim("place") == ""), "no_start": F.col("starts").isNull(), "no_end": F.col("ends").isNull(), "no_image": F.col("images") == 0}
+    stats = w.groupBy("grp").agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in gone.items()])
+    part = lambda n: F.col(n) / F.col("total")
+    why = [F.when(part(n) > share, F.concat(F.floor(F.col(n) * 100 / F.col("total") + 0.5).cast("string"), F.lit(text))) for n, share, text in CRAWL_ABOVE]
+    return stats.withColumn("crawl_why", F.nullif(F.concat_ws(", ", *why), F.lit("")))
