@@ -57,12 +57,12 @@ def with_any_date(texts: DataFrame, column: str, now: Column | str, zone: str =
 
     def timed(name: str, place: int) -> Column:
         got = lambda p, g: F.regexp_extract(F.col("__v"), p, g) if g else F.lit("")
-        return F.coalesce(*[F.when(F.col("__kind") == k, got(p, groups[place])) for k, (p, groups, _) in TIMES.items()]).alias(name)
+        return F.nullif(F.coalesce(*[F.when(F.col("__kind") == k, got(p, groups[place])) for k, (p, groups, _) in TIMES.items()]), F.lit("")).alias(name)  # a cast of an empty text is dear
 
     third = F.when(F.col("__kind") == "word", F.regexp_extract("__v", TIMES["word"][0], 3))
     x = x.withColumns({
-        "__h": timed("h", 0).try_cast("int"), "__n": F.coalesce(F.nullif(timed("n", 1), F.lit("")), F.nullif(third, F.lit(""))).try_cast("int"), "__s": timed("s", 2).try_cast("int"),
-        "__f": F.rpad(F.substring(timed("f", 3), 1, 6), 6, "0").try_cast("int"), "__half": F.nullif(timed("half", 4), F.lit("")),
+        "__h": timed("h", 0).try_cast("int"), "__n": F.coalesce(timed("n", 1), F.nullif(third, F.lit(""))).try_cast("int"), "__s": timed("s", 2).try_cast("int"),
+        "__f": F.rpad(F.substring(timed("f", 3), 1, 6), 6, "0").try_cast("int"), "__half": timed("half", 4),
         "__ahead": F.coalesce(*[F.when(F.col("__kind") == k, _zone(F.col("__v"), p, before)) for k, (p, _, before) in TIMES.items()]),
         "__rest": F.coalesce(*[F.when(F.col("__kind") == k, F.regexp_replace("__v", p, " ")) for k, (p, _, _) in TIMES.items()], F.col("__v")),
     })
@@ -71,7 +71,7 @@ def with_any_date(texts: DataFrame, column: str, now: Column | str, zone: str =
     x = x.withColumn("__clean", (F.regexp_replace("__rest", r"[a-z0-9\s.,;/'-]", "") == "") & ~F.col("__rest").rlike(r"[0-9]([-/.])(?:[0-9]+|[a-z]+)\1(?![0-9a-z])|[0-9]{2},[0-9]"))
     words = F.regexp_extract_all(F.col("__rest"), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
     x = x.withColumn("__words", words)
-    token = lambda w: F.struct(w.alias("w"), F.try_element_at(months, w).alias("m"), F.try_element_at(days, w).alias("d"), w.try_cast("int").alias("n"), F.length(w).alias("len"))
+    token = lambda w: F.struct(w.alias("w"), F.try_element_at(months, w).alias("m"), F.try_element_at(days, w).alias("d"), F.when(w.rlike("^[0-9]{1,9}$"), w.cast("int")).alias("n"), F.length(w).alias("len"))
     x = x.withColumn("__tokens", F.transform("__words", token))
     tokens = F.col("__tokens")
     odd = F.exists(tokens, lambda t: t["m"].isNull() & t["d"].isNull() & t["w"].rlike("[a-z]") & ~t["w"].isin(BETWEEN))
