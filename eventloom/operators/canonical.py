@@ -93,7 +93,10 @@ def status_from_scores(fit: Column, confidence: Column) -> Column:
 
 def apply_ai(events: DataFrame, now: str) -> DataFrame:
     """(id, the fields that an AI result sets): events with the result's columns beside them. A result from the fallback model
-    changes nothing but sends the event back to the queue."""
+    changes nothing but sends the event back to the queue. An event's own location_district, contact_email, contact_phone,
+    organizer_website and organizer_directions, where events has such columns, stay when the result tells none (ai_district, ai_email, ai_phone, ai_website,
+    ai_directions) or isn't sure of it; a known district changes only together with the address. Phone, website and directions are among the fields only
+    where events has their ai_ column."""
     fallback = F.col("model") == "fallback"
     starts = F.coalesce("start_at", F.when(sure("dt_conf"), F.col("ai_start")))
     scored = status_from_scores(F.col("fit"), F.col("confidence"))
@@ -103,15 +106,20 @@ def apply_ai(events: DataFrame, now: str) -> DataFrame:
     fit = sure("loc_conf") & (offered != "") & ~F.trim(F.regexp_replace(offered, r"\s+", " ")).rlike(ADDRESS_PLACEHOLDER)
     real = offered.rlike("[0-9]") | offered.contains(",")
     price = sure("price_conf") & some("ai_price_type").isNotNull() & (F.col("price_type").isNull() | (F.col("price_type") == "unknown"))
-    email = F.when(sure("contact_conf"), F.nullif(F.trim("ai_email"), F.lit("")))
+    own = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    told = lambda c: F.when(sure("contact_conf"), F.nullif(F.trim(c), F.lit("")))
+    contact = lambda name, c: F.when(fallback, own(name)).otherwise(F.coalesce(told(c), own(name))).alias(name)
+    more = {"contact_phone": "ai_phone", "organizer_website": "ai_website", "organizer_directions": "ai_directions"}
     keep = lambda column, value: F.when(fallback, F.col(column)).otherwise(value)
-    district = F.when(sure("loc_conf"), some("ai_district"))
+    mine = F.nullif(own("location_district"), F.lit(""))
+    moved = yes(vague & fit & real) | mine.isNull()
+    district = F.when(fallback, own("location_district")).otherwise(F.coalesce(F.when(moved & sure("loc_conf"), some("ai_district")), own("location_district")))
     return events.where("has_ai").select(
         "id", F.when(fallback, "pending_ai").otherwise(guarded).alias("status"), keep("start_at", starts).alias("start_datetime"), keep("end_at", F.coalesce("end_at", F.when(sure("dt_conf"), F.col("ai_end")))).alias("end_datetime"),
-        keep("address", F.when(vague & fit & real, offered).otherwise(F.col("address"))).alias("location_address"), F.when(~fallback, district).alias("location_district"),
+        keep("address", F.when(vague & fit & real, offered).otherwise(F.col("address"))).alias("location_address"), district.alias("location_district"),
         keep("price_type", F.when(price, F.lower("ai_price_type")).otherwise(F.col("price_type"))).alias("price_type"),
         keep("price_min", F.when(price & F.col("ai_price_min").isNotNull(), F.col("ai_price_min")).when(price & (F.col("ai_price_type") == "free"), 0.0).otherwise(F.col("price_min"))).alias("price_min"),
-        keep("age_min", F.coalesce("ai_age_min", "age_min")).alias("age_min"), keep("age_max", F.coalesce("ai_age_max", "age_max")).alias("age_max"), F.when(~fallback, email).alias("contact_email"),
+        keep("age_min", F.coalesce("ai_age_min", "age_min")).alias("age_min"), keep("age_max", F.coalesce("ai_age_max", "age_max")).alias("age_max"), contact("contact_email", "ai_email"), *[contact(n, c) for n, c in more.items() if c in events.columns],
     )
 
 
