@@ -71,6 +71,18 @@ def part(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern's first match, empty where they take no part, as an array; without a match its only entry is empty. A text
+    is searched once: the second search starts where the first one found the match. For groups of digits or letters."""
+    found = F.regexp_extract(text, f"(?s)(?:{pattern}).*", 0)
+    return F.split(F.regexp_replace(found, f"(?s)^(?:{pattern}).*", "|".join(f"${k}" for k in range(1, n + 1))), r"\|")
+
+
+def whole(groups_: Column, k: int) -> Column:
+    """A group as a whole number; null if it is empty, not there or too large."""
+    return F.when(F.get(groups_, F.lit(k)) != "", F.get(groups_, F.lit(k)).try_cast("int"))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -89,11 +101,14 @@ def display_title(text: Column) -> Column:
 
 def short_description(text: Column) -> Column:
     """At most 500 characters, cut after a full stop or at a blank beyond the 300th."""
-    t = squeeze(F.regexp_replace(text, "<[^>]+>", " "))
-    s = F.substring(t, 1, 500)
-    last = lambda c: F.length(s) - F.instr(F.reverse(s), c)  # noqa: E731  from 0; the length if there is none
-    stop, blank = last("."), last(" ")
-    return F.when(F.length(t) <= 500, t).when((F.instr(s, ".") > 0) & (stop > 300), s.substr(F.lit(1), stop + 1)).when((F.instr(s, " ") > 0) & (blank > 300), F.concat(s.substr(F.lit(1), blank), F.lit("..."))).otherwise(F.concat(F.substring(t, 1, 497), F.lit("...")))
+
+    def cut(t, s):
+        last = lambda c: F.length(s) - F.instr(F.reverse(s), c)  # noqa: E731  from 0; the length if there is none
+        stop, blank = last("."), last(" ")
+        return F.when((F.instr(s, ".") > 0) & (stop > 300), s.substr(F.lit(1), stop + 1)).when((F.instr(s, " ") > 0) & (blank > 300), F.concat(s.substr(F.lit(1), blank), F.lit("..."))).otherwise(F.concat(F.substring(t, 1, 497), F.lit("...")))
+
+    short = lambda t: F.when(F.length(t) <= 500, t).otherwise(once(F.substring(t, 1, 500), lambda s: cut(t, s)))
+    return once(squeeze(F.regexp_replace(text, "<[^>]+>", " ")), short)
 
 
 def address(text: Column) -> Column:
@@ -109,14 +124,15 @@ def is_street(text: Column) -> Column:
 
 def amount(text: Column, pattern: str) -> Column:
     """A price of a pattern's first group."""
-    return F.replace(part(text, pattern), F.lit(","), F.lit(".")).try_cast("double")
+    return once(F.regexp_extract(text, pattern, 1), lambda m: F.when(m != "", F.replace(m, F.lit(","), F.lit(".")).try_cast("double")))
 
 
 def price(text: Column) -> Column:
     """struct(type, min) from a lower-case text: free words, donations (free too), then an amount in euros."""
     free = has_any(text, FREE) | has_any(text, DONATION)
-    value = amount(text, r"([0-9]+(?:[,.][0-9]{2})?)\s*(?:€|euro|eur)")
-    return F.when(free, F.struct(F.lit("free").alias("type"), F.lit(0.0).alias("min"))).when(value.isNotNull(), F.struct(F.lit("paid").alias("type"), value.alias("min"))).otherwise(F.struct(F.lit("unknown").alias("type"), F.lit(None).cast("double").alias("min")))
+    told = lambda kind, least: F.struct(F.lit(kind).alias("type"), F.lit(least).cast("double").alias("min"))
+    paid = lambda value: F.when(value.isNotNull(), F.struct(F.lit("paid").alias("type"), value.alias("min"))).otherwise(told("unknown", None))
+    return F.when(free, told("free", 0.0)).otherwise(once(amount(text, r"([0-9]+(?:[,.][0-9]{2})?)\s*(?:€|euro|eur)"), paid))
 
 
 def price_details(text: Column) -> dict[str, Column]:
@@ -130,10 +146,11 @@ def age_range(text: Column, strict: bool = False) -> Column:
     strict reads it as a range."""
     years = r"\s*(?:jahren?|j\.?)"
     span = r"([0-9]+)\s*(?:[-–]|bis)\s*([0-9]+)" + years if strict else r"([0-9]+)\s*[-–bis]\s*([0-9]+)" + years
-    number = lambda p, g=1: part(text, p, g).try_cast("int")
-    pair = lambda a, b: F.struct(a.cast("int").alias("low"), b.cast("int").alias("high"))
-    low, up = number(r"ab\s*([0-9]+)" + years), number(r"bis\s*([0-9]+)" + years)
-    return F.when(number(span).isNotNull(), pair(number(span), number(span, 2))).when(low.isNotNull(), pair(low, F.lit(99))).when(up.isNotNull(), pair(F.lit(0), up)).otherwise(pair(F.lit(None), F.lit(None)))
+    pair = lambda a, b: F.struct(F.lit(a).cast("int").alias("low"), F.lit(b).cast("int").alias("high"))
+    upto = lambda u: F.when(u.isNotNull(), pair(0, u)).otherwise(pair(None, None))
+    since = lambda low: F.when(low.isNotNull(), pair(low, 99)).otherwise(once(whole(groups(text, r"bis\s*([0-9]+)" + years, 1), 0), upto))
+    ranged = lambda g: F.when(whole(g, 0).isNotNull(), pair(whole(g, 0), whole(g, 1))).otherwise(once(whole(groups(text, r"ab\s*([0-9]+)" + years, 1), 0), since))
+    return once(groups(text, span, 2), ranged)
 
 
 def first_of(text: Column, table: list[tuple[str, list[str]]]) -> Column:
@@ -158,36 +175,42 @@ def flags(text: Column) -> dict[str, Column]:
 def contacts(text: Column) -> dict[str, Column]:
     """The first e-mail address, and a phone number by three patterns in order."""
     tail = r"[\s/-]?[0-9]{2,4}[\s/-]?[0-9]{2,6}"
-    phone = F.coalesce(part(text, r"(\+49[\s/-]?[0-9]{2,4}" + tail + ")"), part(text, "(0[0-9]{2,4}" + tail + ")"), part(text, r"(\(0[0-9]{2,4}\)" + tail + ")"))
-    return {"email": part(text, r"([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[a-zA-Z]{2,})"), "phone": F.substring(F.trim(phone), 1, 50)}
+    first = lambda pattern: once(F.regexp_extract(text, pattern, 1), lambda m: F.when(m != "", m))
+    phone = F.coalesce(first(r"(\+49[\s/-]?[0-9]{2,4}" + tail + ")"), first("(0[0-9]{2,4}" + tail + ")"), first(r"(\(0[0-9]{2,4}\)" + tail + ")"))
+    email = F.when(text.contains("@"), first(r"([A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[a-zA-Z]{2,})"))
+    return {"email": email, "phone": F.substring(F.trim(phone), 1, 50)}
 
 
 def time_of_day(text: Column) -> Column:
     """struct(start, ending) in minutes of the day from a lower-case text; six patterns in order, hours from 6 to 23. A range
     that ends before it starts ends on the next day."""
     clock, word = r"([0-9]{1,2})(?:[:.]\s*([0-9]{2}))?", r"(?:uhr|h)"
-    span = r"(?:(?:von|zwischen)\s+)?" + clock + r"\s*" + word + r"?\s*(?:bis|und|[-–])\s*" + clock + r"\s*" + word + "?"
-    number = lambda p, g: part(text, p, g).try_cast("int")
-    made = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("ending"))
-    none = F.lit(None)
-
-    def minutes(p, g=1):
-        h, m = number(p, g), F.coalesce(number(p, g + 1), F.lit(0))
-        return F.when(h.between(6, 23) & m.between(0, 59), h * 60 + m)
-
-    h2, m2 = number(span, 3), F.coalesce(number(span, 4), F.lit(0))
-    ending = F.when(h2.between(0, 23) & m2.between(0, 59), h2 * 60 + m2)
-    start = minutes(span)
-    at = minutes(r"(?:um|gegen)\s*" + clock + r"\s*" + word)
-    since = minutes(r"(?:^|[^a-z0-9_äöüß])ab\s+" + clock + r"\s*" + word + r"(?:$|[^a-z0-9_äöüß])")
-    until = minutes(r"(?:^|[^a-z0-9_äöüß])bis\s+" + clock + r"\s*" + word + r"(?:$|[^a-z0-9_äöüß])")
-    plain = minutes(r"(?:^|[^a-z0-9_äöüß])" + clock + r"\s*uhr(?:$|[^a-z0-9_äöüß])")
-    day = part(text, r"(?:^|[^a-z0-9_äöüß])(vormittag|nachmittag|abend|morgens)s?(?:$|[^a-z0-9_äöüß])")
-    hour = F.when(day == "vormittag", 600).when(day == "nachmittag", 840).when(day == "abend", 1140).when(day == "morgens", 540)
-    return (
-        F.when(start.isNotNull() & ending.isNotNull(), made(start, F.when(ending <= start, ending + 1440).otherwise(ending)))
-        .when(at.isNotNull(), made(at, none)).when(since.isNotNull(), made(since, none)).when(until.isNotNull(), made(none, until)).when(plain.isNotNull(), made(plain, none)).otherwise(made(hour, none))
-    )
+    span = r"(?=[vz0-9])(?:(?:von|zwischen)\s+)?" + clock + r"\s*" + word + r"?\s*(?:bis|und|[-–])\s*" + clock + r"\s*" + word + "?"
+    # a look at one character first rules out most places of a text
+    edge, done = lambda first: f"(?=[{first}])(?<![a-z0-9_äöüß])", r"(?:$|[^a-z0-9_äöüß])"
+    made = lambda a, b: F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("ending"))
+
+    def minutes(g, k, least=6):
+        """Hour and minute from the k-th group on, as minutes of the day."""
+        h, m = whole(g, k), F.coalesce(whole(g, k + 1), F.lit(0))
+        return F.when(h.between(least, 23) & m.between(0, 59), h * 60 + m)
+
+    def tried(t, patterns):
+        """The first pattern that tells a time; each is searched for only if those before it tell none."""
+        if not patterns:
+            day = groups(t, edge("vnam") + "(vormittag|nachmittag|abend|morgens)s?" + done, 1)
+            return once(F.get(day, F.lit(0)), lambda d: made(F.when(d == "vormittag", 600).when(d == "nachmittag", 840).when(d == "abend", 1140).when(d == "morgens", 540), None))
+        (pattern, told), *rest = patterns
+        return once(once(groups(t, pattern, 2), lambda g: minutes(g, 0)), lambda at: F.when(at.isNotNull(), told(at)).otherwise(tried(t, rest)))
+
+    starts, ends = lambda at: made(at, None), lambda at: made(None, at)
+    single = [
+        (r"(?=[ug])(?:um|gegen)\s*" + clock + r"\s*" + word, starts), (edge("a") + r"ab\s+" + clock + r"\s*" + word + done, starts),
+        (edge("b") + r"bis\s+" + clock + r"\s*" + word + done, ends), (edge("0-9") + clock + r"\s*uhr" + done, starts),
+    ]
+    both = lambda t: once(groups(t, span, 4), lambda g: F.struct(minutes(g, 0).alias("a"), minutes(g, 2, 0).alias("b")))
+    later = lambda p: made(p["a"], F.when(p["b"] <= p["a"], p["b"] + 1440).otherwise(p["b"]))
+    return once(text, lambda t: once(both(t), lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), later(p)).otherwise(tried(t, single))))
 
 
 #: What a text must hold for a pattern to match at all: cheap to look for, without word boundaries.
