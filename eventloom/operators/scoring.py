@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from eventloom.operators.search import RESTRICTED, ts
+from eventloom.session import ship_package
 
 #: Publishing thresholds.
 CONFIDENCE_PUBLISH, CONFIDENCE_REJECT, FIT_REJECT, FIT_PUBLISH, COMPLETE = 0.75, 0.80, 30, 50, 50
@@ -148,12 +153,40 @@ def review_reason() -> Column:
     return F.when(F.col("status") != "rejected", None).when(yes(F.col("family_fit") < 30), "AI_REJECTED").otherwise("MANUAL_REJECTED")
 
 
+def picked(scored: DataFrame, group: str, columns: list[str], pick: Callable[[list[dict]], list[tuple]], made: str) -> DataFrame:
+    """(group, made...) for what pick takes of each group's rows (dicts, best first: by total, then the smallest id). Groups travel as
+    one row each, many to an Arrow batch; callers bound a group's rows before."""
+    import pyarrow as pa
+
+    ship_package(scored.sparkSession)
+    schema = f"{group} {scored.schema[group].dataType.simpleString()}, {made}"
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                rows = sorted(row["rows"], key=lambda r: r["id"])
+                rows.sort(key=lambda r: _falling(r["total"]))
+                out += [(row[group], *one) for one in pick(rows)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+
+    each = scored.groupBy(group).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return each.mapInArrow(run, schema)
+
+
+def _falling(total: float | None) -> tuple[bool, float]:
+    """Sort key: the largest first, what is missing last."""
+    missing = total is None or total != total
+    return missing, 0.0 if missing else -total
+
+
 def varied(scored: DataFrame, group: str, target: int = 3) -> DataFrame:
     """(group, id, rank): the first two by score always, then only events with a category that is new, then the best left over;
     all where there are no more than `target`. Callers bound a group's candidates before."""
 
-    def pick(pdf):
-        rows = pdf.sort_values(["total", "id"], ascending=[False, True]).to_dict("records")
+    def pick(rows):
         taken, seen = [], set()
         for r in rows if len(rows) > target else []:
             if len(taken) < target and (len(taken) < 2 or any(c not in seen for c in r["slugs"])):
@@ -162,21 +195,16 @@ def varied(scored: DataFrame, group: str, target: int = 3) -> DataFrame:
         for r in rows:
             if len(taken) < target and r["id"] not in taken:
                 taken.append(r["id"])
-        import pandas as pd
+        return [(i, k + 1) for k, i in enumerate(taken)]
 
-        return pd.DataFrame({group: [rows[0][group]] * len(taken), "id": taken, "rank": range(1, len(taken) + 1)})
-
-    return scored.groupBy(group).applyInPandas(pick, f"{group} {scored.schema[group].dataType.simpleString()}, id bigint, rank bigint")
+    return picked(scored, group, ["id", "total", "slugs"], pick, "id bigint, rank bigint")
 
 
 def optimise(scored: DataFrame, group: str, budget: float, heads: int, children: int) -> DataFrame:
     """(group, id, slot, rank): up to three events that the budget allows, the first two with a new category where there is
     choice, and up to three other indoor events as plan B. Rows: group, id, total, price_type, price_min, is_indoor, slugs."""
 
-    def pick(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values(["total", "id"], ascending=[False, True]).to_dict("records")
+    def pick(rows):
         main, seen, spent = [], set(), 0.0
         for r in rows:
             if len(main) >= 3:
@@ -192,10 +220,9 @@ def optimise(scored: DataFrame, group: str, budget: float, heads: int, children:
             seen |= own
             spent += cost
         other = [r["id"] for r in rows if r["id"] not in main and r["is_indoor"]][:3]
-        made = [(rows[0][group], i, "main", k + 1) for k, i in enumerate(main)] + [(rows[0][group], i, "plan_b", k + 1) for k, i in enumerate(other)]
-        return pd.DataFrame(made, columns=[group, "id", "slot", "rank"])
+        return [(i, "main", k + 1) for k, i in enumerate(main)] + [(i, "plan_b", k + 1) for k, i in enumerate(other)]
 
-    return scored.groupBy(group).applyInPandas(pick, f"{group} {scored.schema[group].dataType.simpleString()}, id bigint, slot string, rank bigint")
+    return picked(scored, group, ["id", "total", "price_type", "price_min", "is_indoor", "slugs"], pick, "id bigint, slot string, rank bigint")
 
 
 def plan_score(budget: float, ages: list[int]) -> Column:
@@ -211,9 +238,8 @@ def rerank(scored: DataFrame, group: str, limit: int = 10, per_key: int = 2) ->
     """Greedy diversity inside each group's candidates: a budget pick first, then by score, at most per_key of a category or
     place; free places are filled by score. Callers bound a group's candidates (a top 50) before."""
 
-    def pick(pdf):
-        pdf = pdf.sort_values(["total", "id"], ascending=[False, True])
-        rows, taken, categories, places = pdf.to_dict("records"), [], {}, {}
+    def pick(rows):
+        taken, categories, places = [], {}, {}
 
         def fits(r):
             return all(categories.get(c, 0) < per_key for c in r["slugs"]) and places.get(r["place"], 0) < per_key
@@ -231,8 +257,6 @@ def rerank(scored: DataFrame, group: str, limit: int = 10, per_key: int = 2) ->
             for r in rows:
                 if len(taken) < limit and r["id"] not in taken and (fits(r) or not strict):
                     add(r)
-        place = {i: k + 1 for k, i in enumerate(taken)}
-        pdf = pdf[pdf["id"].isin(taken)].assign(rank=lambda d: d["id"].map(place).astype("int64"))
-        return pdf[[group, "id", "rank"]]
+        return [(i, k + 1) for k, i in enumerate(taken)]
 
-    return scored.groupBy(group).applyInPandas(pick, f"{group} {scored.schema[group].dataType.simpleString()}, id bigint, rank bigint")
+    return picked(scored, group, ["id", "total", "price_type", "price_min", "slugs", "place"], pick, "id bigint, rank bigint")
