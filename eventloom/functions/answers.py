@@ -126,12 +126,11 @@ _NUMBERS = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 _KINDS = {"string": "^STRING", "boolean": "^BOOLEAN", "null": "^VOID", "number": _NUMBERS, "integer": _NUMBERS, "array": "^ARRAY", "object": "^OBJECT"}
 
 
-def _kind_is(value: Column, kind: str) -> Column:
-    """Whether a VARIANT is of a kind; whole numbers are integers however they are written."""
-    fits = F.schema_of_variant(value).rlike(_KINDS[kind])
+def _kind_is(value: Column, schema: Column, kind: str) -> Column:
+    """Whether a VARIANT of a schema (a text) is of a kind; whole numbers are integers however they are written."""
+    fits = schema.rlike(_KINDS[kind])
     if kind == "integer":
-        number = F.try_variant_get(value, "$", "double")
-        return fits & (number == F.rint(number))
+        return fits & once(F.try_variant_get(value, "$", "double"), lambda number: number == F.rint(number))
     return fits
 
 
@@ -143,30 +142,49 @@ def _any(conditions) -> Column:
     return out
 
 
-def broken(value: Column, rule: Rule, name: str) -> list[tuple[str, Column]]:
-    """(name of a problem, whether a VARIANT has it) for all that a rule asks; what isn't there has no problem."""
-    fits = _any(_kind_is(value, k) for k in rule.kinds.split())
-    out = [(f"{name}_type", value.isNotNull() & ~fits)]
-    if rule.low is not None or rule.high is not None:
-        number = F.when(_kind_is(value, "number"), F.try_variant_get(value, "$", "double"))
-        outside = [number < F.lit(float(rule.low))] if rule.low is not None else []
-        outside += [number > F.lit(float(rule.high))] if rule.high is not None else []
-        out.append((f"{name}_range", _any(outside)))
-    text = F.when(_kind_is(value, "string"), F.try_variant_get(value, "$", "string"))
-    listed = F.when(_kind_is(value, "array"), F.try_variant_get(value, "$", "array<variant>"))
-    if rule.most is not None:
-        out.append((f"{name}_too_many", F.size(listed) > rule.most) if rule.kinds.startswith("array") else (f"{name}_long", F.length(text) > rule.most))
-    if rule.values:
-        out.append((f"{name}_enum", ~text.isin(*rule.values)))
-    if rule.items:
-        out.append((f"{name}_items", F.exists(listed, lambda x: _any(c for _, c in broken(x, rule.items, "item")))))
-    is_object = _kind_is(value, "object")
-    for key, inner in rule.fields.items():
-        held = F.when(is_object, F.try_variant_get(value, f"$['{key}']", "variant"))
-        label = inner.label or key
-        out += [(f"{name}_{label}_missing", is_object & held.isNull())] if key in rule.required else []
-        out += [(f"{name}_{n}", c) for n, c in broken(held, inner, label)]
-    return out
+def _names(found: list[tuple[str, Column]]) -> Column:
+    """The names whose condition holds."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in found]))
+
+
+def _read(value: Column, use) -> Column:
+    """use(value, its schema), both computed once."""
+    return once(F.struct(value.alias("v"), F.schema_of_variant(value).alias("s")), lambda h: use(h["v"], h["s"]))
+
+
+def _fields(value: Column, is_object: Column, rule: Rule, prefix: str) -> list[Column]:
+    """The names of the problems of each field of an object."""
+
+    def each(key: str, inner: Rule) -> Column:
+        name = prefix + (inner.label or key)
+        lack = _names([(f"{name}_missing", is_object)]) if key in rule.required else F.array().cast("array<string>")
+        return once(F.when(is_object, F.try_variant_get(value, f"$['{key}']", "variant")), lambda held: F.when(held.isNull(), lack).otherwise(broken(held, inner, name)))
+
+    return [each(key, inner) for key, inner in rule.fields.items()]
+
+
+def broken(value: Column, rule: Rule, name: str) -> Column:
+    """The names of the problems that a VARIANT, which is there, has by a rule. Each value is read and its kind found once."""
+
+    def found(v: Column, s: Column) -> Column:
+        own = [(f"{name}_type", ~_any(_kind_is(v, s, k) for k in rule.kinds.split()))]
+        if rule.low is not None or rule.high is not None:
+            ends = [(rule.low, Column.__lt__), (rule.high, Column.__gt__)]
+            outside = lambda n: _any(beyond(n, F.lit(float(end))) for end, beyond in ends if end is not None)
+            own.append((f"{name}_range", _kind_is(v, s, "number") & once(F.try_variant_get(v, "$", "double"), outside)))
+        text = F.when(_kind_is(v, s, "string"), F.try_variant_get(v, "$", "string"))
+        listed = F.when(_kind_is(v, s, "array"), F.try_variant_get(v, "$", "array<variant>"))
+        if rule.most is not None:
+            own.append((f"{name}_too_many", F.size(listed) > rule.most) if rule.kinds.startswith("array") else (f"{name}_long", F.length(text) > rule.most))
+        if rule.values:
+            own.append((f"{name}_enum", ~text.isin(*rule.values)))
+        if rule.items:
+            bad = lambda x: F.coalesce(F.size(broken(x, rule.items, "item")) > 0, F.lit(False))
+            own.append((f"{name}_items", F.exists(listed, bad)))
+        inside = _fields(v, F.coalesce(_kind_is(v, s, "object"), F.lit(False)), rule, f"{name}_") if rule.fields else []
+        return F.concat(_names(own), *inside)
+
+    return _read(value, found)
 
 
 def problems(answer: Column, schema: Rule = CLASSIFICATION) -> Column:
@@ -175,14 +193,9 @@ def problems(answer: Column, schema: Rule = CLASSIFICATION) -> Column:
     A text that isn't strictly a JSON object is `no_object` and lacks all that is required.
     """
 
-    def found(value):
+    def found(v: Column, s: Column) -> Column:
         """The names for one parsed answer."""
-        is_object = F.coalesce(_kind_is(value, "object"), F.lit(False))
-        out = [("no_object", ~is_object)]
-        for key, inner in schema.fields.items():
-            held, label = F.when(is_object, F.try_variant_get(value, f"$['{key}']", "variant")), inner.label or key
-            out += [(f"{label}_missing", held.isNull())] if key in schema.required else []
-            out += broken(held, inner, label)
-        return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in out]))
-
-    return once(strict_json(answer), found)
+        lack = [(f"{inner.label or key}_missing", F.lit(True)) for key, inner in schema.fields.items() if key in schema.required]
+        return F.when(F.coalesce(_kind_is(v, s, "object"), F.lit(False)), F.concat(*_fields(v, F.lit(True), schema, ""))).otherwise(_names([("no_object", F.lit(True)), *lack]))
+
+    return _read(strict_json(answer), found)
