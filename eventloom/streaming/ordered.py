@@ -1,8 +1,10 @@
 """Stateful streams whose results do not depend on how rows arrive: a key's rows wait until the watermark has passed them and are
 then taken in the order of event time.
 
-`InOrder` holds the rows that wait in list state and keeps one timer a key, at the first thing that is due. What a processor knows of
-a key is loaded once for a flush and saved after it; deadlines of its own (leases, locks, ends of windows) are due in event time like
+Keys are dealt over a fixed number of buckets, and a bucket is what Spark groups by, as each group costs a frame and several calls of
+the state. `InOrder` holds a bucket's waiting rows in map state, packed in blocks of a span of event time, so that a flush has a bounded
+number of rows in memory at a time. One timer a bucket stands at the first thing that is due. What a processor knows of a bucket's keys is loaded once
+for a flush and what has changed is saved after it; deadlines of its own (leases, locks, ends of windows) are due in event time like
 rows are, and state that has run out is dropped by them, so no key stays for good. Rows that are later than the watermark allows are
 dropped by Spark.
 """
@@ -10,12 +12,19 @@ dropped by Spark.
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
+from collections import defaultdict
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY = 86_400_000
+#: Groups that keys are dealt over; rows that are held before they are packed, and that a block should have; rows that a flush loads at
+#: a time; rows of a frame of results. Spans are powers of eight ms, WIDEST at most.
+BUCKETS, BUFFER, BLOCK, MOST, FRAME, WIDEST = 256, 1 << 16, 1 << 10, 1 << 17, 1 << 13, 8**14
 
 
 class InOrder(StatefulProcessor):
@@ -24,42 +33,103 @@ class InOrder(StatefulProcessor):
     #: Schema of the rows that are kept, ms and seq first; columns of the output behind the key's.
     row_schema = "ms long, seq long"
     out: list[str] = []
+    #: Only the last result that a flush has for a key is told.
+    newest_only = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.columns = [f.split()[0] for f in self.row_schema.split(", ")]
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.columns = ["key", *(f.split()[0] for f in self.row_schema.split(", "))]
+        self.waiting = handle.getMapState("waiting", "first long, last long, n long, size long", "block binary")
         self.alarm = handle.getValueState("alarm", "ms long")
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [row for frame in rows for row in zip(*(frame[c].tolist() for c in self.columns), strict=True)]
-        self.waiting.appendList(new)
-        self._wake(min(r[0] for r in new) + 1)
+        first, new = [], []
+        for frame in rows:
+            own = [frame[c].tolist() for c in self.columns]
+            new += zip(own[0], zip(*own[1:], strict=True), strict=True)
+            if len(new) >= BUFFER:
+                first, new = [min([*first, *(n[0] for n in self._keep(new))])], []
+        self._wake(min([*first, *(n[0] for n in self._keep(new))]) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         mark = timerValues.getCurrentWatermarkInMs()  # all rows before it are here
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] < mark else later).append(tuple(row))
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        known, out = self.load(), []
-        for row in sorted(ready):
-            out += self.due(known, row[0])
-            out += self.step(known, row)
-        out += self.due(known, mark - 1)
-        self.save(known)
+        frame = lambda out: pd.DataFrame([(None if key[0] < 0 else k, *o) for k, o in out], columns=self.out)
+        every, out, newest = self.load(), [], {}
+        for run in self._runs([tuple(n) for n in self.waiting.keys()], WIDEST, mark):
+            for k, rows in groupby(run, lambda r: r[0]):
+                if k not in every:
+                    every[k] = self.fresh()
+                known, told = every[k], []
+                for _, row in rows:
+                    told += self.due(known, row[0])
+                    told += self.step(known, row)
+                if self.newest_only:
+                    newest.update((k, o) for o in told[-1:])
+                else:
+                    out += [(k, o) for o in told]
+            while len(out) >= FRAME:
+                yield frame(out[:FRAME])
+                out = out[FRAME:]
+        for k, known in every.items():
+            told = self.due(known, mark - 1)
+            out += [(k, o) for o in told]
+        self.save(every)
         self.alarm.clear()
-        ahead = [r[0] for r in later] + [t for t in [self.deadline(known)] if t is not None]
+        ahead = [n[0] for n in self.waiting.keys()] + [t for t in map(self.deadline, every.values()) if t is not None]
         if ahead:
             self._wake(min(ahead) + 1)
-        yield pd.DataFrame([(*key, *o) for o in out], columns=self.out)
+        out += newest.items()
+        for at in range(0, len(out), FRAME):
+            yield frame(out[at : at + FRAME])
+
+    def _keep(self, rows: list[tuple], width: int | None = None) -> list[tuple]:
+        """Let rows (key, row) wait, a block for each span of so many ms, or of as many as fill blocks; the blocks' names: first and last
+        time, number, size."""
+        if width is None:
+            width, least = WIDEST, max((max(r[1][0] for r in rows) - min(r[1][0] for r in rows)) * BLOCK // len(rows), 1) if rows else 1
+            while width // 8 >= least:
+                width //= 8
+        spans = defaultdict(list)
+        for r in rows:
+            spans[r[1][0] // width].append(r)
+        names = []
+        for own in spans.values():
+            times = [r[1][0] for r in own]
+            names.append((min(times), max(times), uuid.uuid4().int >> 65, len(own)))
+            self.waiting.updateValue(names[-1], (pickle.dumps([[r[0] for r in own], *zip(*(r[1] for r in own))], 5),))
+        return names
+
+    def _take(self, name: tuple) -> list[tuple]:
+        """The rows of a block, which no longer waits."""
+        keys, *columns = pickle.loads(bytes(self.waiting.getValue(name)[0]))
+        self.waiting.removeKey(name)
+        return list(zip(keys, zip(*columns)))
+
+    def _runs(self, names: list[tuple], width: int, mark: int):
+        """The waiting rows before mark in sorted lists, span after span. A span of too many rows is cut into finer ones, down to a
+        single ms."""
+        spans = defaultdict(list)
+        for name in names:
+            if name[0] < mark:
+                whole = name[0] // width == name[1] // width
+                for part in [name] if whole else self._keep(self._take(name), width):
+                    spans[part[0] // width].append(part)
+        for at in sorted(spans):
+            own = [name for name in spans[at] if name[0] < mark]
+            if width > 1 and sum(n[3] for n in own) > MOST:
+                yield from self._runs(own, width // 8, mark)
+                continue
+            ready, later = [], []
+            for name in own:
+                for r in self._take(name):
+                    (ready if r[1][0] < mark else later).append(r)
+            if later:
+                self._keep(later)
+            yield sorted(ready)
 
     def _wake(self, ms: int) -> None:
         if self.alarm.exists():
@@ -76,13 +146,16 @@ class InOrder(StatefulProcessor):
     # what a processor adds
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        """Get the state that holds what is known of a key."""
+        """Get the state that holds what is known of a bucket's keys."""
 
-    def load(self):
-        """What is known of the key, as an object that step and due change."""
+    def load(self) -> dict:
+        """What is known of each key, as objects that step and due change."""
 
-    def save(self, known) -> None:
-        """Keep it, or drop it where it has run out."""
+    def fresh(self):
+        """What is known of a new key."""
+
+    def save(self, every: dict) -> None:
+        """Keep what has changed, or drop it where it has run out."""
 
     def step(self, known, row) -> list[tuple]:
         """Take a row."""
@@ -103,16 +176,23 @@ class _OneValue(InOrder):
     state_schema = ""
 
     def open(self, handle):
-        self.value = handle.getValueState("known", self.state_schema)
+        self.values = handle.getMapState("known", "key long", self.state_schema)
 
     def load(self):
-        return {"is": tuple(self.value.get()) if self.value.exists() else None}
+        self.before = {k[0]: tuple(v) for k, v in self.values.iterator()}
+        return {k: {"is": v} for k, v in self.before.items()}
 
-    def save(self, known):
-        if known["is"] is None:
-            self.value.clear()
-        else:
-            self.value.update(known["is"])
+    def fresh(self):
+        return {"is": None}
+
+    def save(self, every):
+        for k, known in every.items():
+            was = self.before.get(k)
+            if known["is"] is None:
+                if was is not None:
+                    self.values.removeKey((k,))
+            elif known["is"] != was:
+                self.values.updateValue((k,), known["is"])
 
     def due(self, known, now):
         until = self.deadline(known)
@@ -176,6 +256,7 @@ class Health(_OneValue):
 
     row_schema, state_schema = "started_ms long, id long, found double, status string", "mean double, failures long, status string, at long"
     out = ["source_id", "mean", "failures", "status", "at"]
+    newest_only = True
 
     def step(self, known, row):
         ms, _, found, outcome = row
@@ -190,10 +271,6 @@ class Health(_OneValue):
         known["is"] = (mean, failures, status, ms)
         return [(round(mean, 6), failures, status, ms)]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        for frame in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
-            yield frame.tail(1)
-
 
 class Silences(_OneValue):
     """Jobs that give no sign of life for longer than a limit: each silence is told once, when the limit has passed."""
@@ -241,29 +318,33 @@ class JobQueue(InOrder):
 
     def open(self, handle):
         # state, kind, source, score, ready or lease end or time of ending, attempts, worker (-1: none), serial number
-        self.jobs = handle.getMapState("jobs", "job string", "state string, kind string, source long, score long, until long, attempts long, worker long, serial long")
-        self.locks = handle.getMapState("locks", "source long", "until long, job string")
+        self.jobs = handle.getMapState("jobs", "key long, job string", "state string, kind string, source long, score long, until long, attempts long, worker long, serial long")
+        self.locks = handle.getMapState("locks", "key long, source long", "until long, job string")
 
     def load(self):
-        jobs = {k[0]: list(v) for k, v in self.jobs.iterator()}
-        locks = {k[0]: tuple(v) for k, v in self.locks.iterator()}
+        jobs, locks = defaultdict(dict), defaultdict(dict)
+        for k, v in self.jobs.iterator():
+            jobs[k[0]][k[1]] = list(v)
+        for k, v in self.locks.iterator():
+            locks[k[0]][k[1]] = tuple(v)
+        return {k: self.fresh(jobs[k], locks[k]) for k in {*jobs, *locks}}
+
+    def fresh(self, jobs=None, locks=None):
+        jobs = {} if jobs is None else jobs
         heap = [(j[3], j[7], k) for k, j in jobs.items() if j[0] == _QUEUED]
         heapq.heapify(heap)
         ends = [(self._end(j), j[7], k) for k, j in jobs.items() if j[0] != _QUEUED]
         heapq.heapify(ends)
-        return {"jobs": jobs, "locks": locks, "queue": heap, "ends": ends, "changed": set(), "freed": set(), "running": {k for k, j in jobs.items() if j[0] == _RUNNING}}
-
-    def save(self, known):
-        for k in known["changed"]:
-            if k in known["jobs"]:
-                self.jobs.updateValue((k,), tuple(known["jobs"][k]))
-            elif self.jobs.containsKey((k,)):
-                self.jobs.removeKey((k,))
-        for s in known["freed"]:
-            if s in known["locks"]:
-                self.locks.updateValue((s,), known["locks"][s])
-            elif self.locks.containsKey((s,)):
-                self.locks.removeKey((s,))
+        return {"jobs": jobs, "locks": {} if locks is None else locks, "queue": heap, "ends": ends, "changed": set(), "freed": set(), "running": {k for k, j in jobs.items() if j[0] == _RUNNING}}
+
+    def save(self, every):
+        for key, known in every.items():
+            for state, now, changed in ((self.jobs, known["jobs"], known["changed"]), (self.locks, known["locks"], known["freed"])):
+                for k in changed:
+                    if k in now:
+                        state.updateValue((key, k), tuple(now[k]))
+                    elif state.containsKey((key, k)):
+                        state.removeKey((key, k))
 
     @staticmethod
     def _end(job):
@@ -358,8 +439,11 @@ class JobQueue(InOrder):
 
 
 def _keyed(rows: DataFrame, key: str, processor: InOrder, schema: str, late: str) -> DataFrame:
-    """rows (ts and the processor's columns) by key, each key's in order once the watermark has passed them."""
-    return rows.withWatermark("ts", late).where(F.col("ts") < end_of_time()).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    """rows (ts and the processor's columns) by key, each key's in order once the watermark has passed them. Rows without a key are a
+    bucket of their own."""
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int")
+    dealt = rows.withWatermark("ts", late).where(F.col("ts") < end_of_time()).withColumns({"bucket": bucket, "key": F.coalesce(F.col(key).cast("long"), F.lit(0))})
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def end_of_time() -> Column:
