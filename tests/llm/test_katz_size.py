@@ -1,6 +1,7 @@
 """What the language model keeps on disk, and its packed blocks."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -38,3 +39,10 @@ def test_without_cache(spark, sf_dir):
     for i, r in a.items():
         assert (r["n_tokens"], r["n_known"]) == (b[i]["n_tokens"], b[i]["n_known"])
         assert np.isclose(r["score"], b[i]["score"], rtol=1e-9) and np.isclose(r["base_score"], b[i]["base_score"], rtol=1e-9)
+
+
+def test_no_training_rows(spark):
+    """Tokens are counted, and score 0, where all rows are held out."""
+    held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2]
+    found = katz.score(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string"), order=3).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["train_tokens"], r["score"]) for r in found) == [(i, 4, 0, 0.0) for i in held]
